@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import leaks, subjects
+from lodegraph.llm import leaks, mixing, neighbours, subjects
 from lodegraph.sources.tables import table
 
 
@@ -32,5 +32,29 @@ def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("(none)")).alias("subject")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("chars").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_leaks, p10_found, p10_makeup)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(neighbours.nearest(table(spark, d, "rag_chunks")), 0.90)
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every chunk with the symbols of both."""
+    chunks = table(spark, d, "rag_chunks")
+    near = neighbours.nearest(chunks)
+    symbol = chunks.where("hash is not null").groupBy("hash").agg(F.min("symbol_id").alias("symbol_id"))
+    return near.join(symbol, "hash", "left").join(symbol.select(F.col("hash").alias("neighbour"), F.col("symbol_id").alias("neighbour_symbol_id")), "neighbour", "left").select("hash", "symbol_id", "neighbour", "neighbour_symbol_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours, p9_mix, p9_shares, p8_found, p8_leaks, p10_found, p10_makeup)}
 SQL: dict[str, str] = {}
