@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import leaks, mixing, neighbours, subjects
+from lodegraph.llm import docpairs, leaks, mixing, neighbours, subjects
 from lodegraph.sources.tables import table
 
 
@@ -32,6 +32,19 @@ def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("(none)")).alias("subject")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("chars").alias("n_chars"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs(spark, d).select("symbol_id")
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented(table(spark, d, "symbols"))
+
+
+def p2_file_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs extracted from the text of the source files themselves."""
+    return docpairs.documented_in_files(table(spark, d, "source_files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(neighbours.nearest(table(spark, d, "rag_chunks")), 0.90)
 
@@ -56,5 +69,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_neighbours, p9_mix, p9_shares, p8_found, p8_leaks, p10_found, p10_makeup)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_file_pairs, p5_found, p5_neighbours, p9_mix, p9_shares, p8_found, p8_leaks, p10_found, p10_makeup)}
 SQL: dict[str, str] = {}
