@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import docpairs, leaks, mixing, neighbours, subjects
+from lodegraph.llm import docpairs, leaks, mixing, neighbours, parsing, subjects
 from lodegraph.sources.tables import table
 
 
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.checked_files(table(spark, d, "source_files"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("not valid").select(F.col("path").alias("file"))
+
+
+def p7_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where("not valid").select("path", "repo", "language", "error_line")
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(_checked(spark, d), table(spark, d, "index_results"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
@@ -69,5 +85,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_file_pairs, p5_found, p5_neighbours, p9_mix, p9_shares, p8_found, p8_leaks, p10_found, p10_makeup)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_file_pairs, p5_found, p5_neighbours, p9_mix, p9_shares, p7_found, p7_errors, p7_rates, p8_found, p8_leaks, p10_found, p10_makeup)}
 SQL: dict[str, str] = {}
