@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import docpairs, leaks, mixing, neighbours, parsing, subjects
+from lodegraph.llm import docpairs, handwritten, leaks, mixing, neighbours, parsing, subjects
 from lodegraph.sources.tables import table
 
 
@@ -48,6 +48,14 @@ def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "doc_id", "left").groupBy(F.coalesce("subject", F.lit("(none)")).alias("subject")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("chars").alias("n_chars"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_by_hand(table(spark, d, "source_files"), table(spark, d, "symbols"))
+
+
+def p1_margins(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(table(spark, d, "source_files"), table(spark, d, "symbols")).select("path", F.round("body", 4).alias("body"), F.round("head", 4).alias("head"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pairs(spark, d).select("symbol_id")
 
@@ -85,5 +93,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p2_file_pairs, p5_found, p5_neighbours, p9_mix, p9_shares, p7_found, p7_errors, p7_rates, p8_found, p8_leaks, p10_found, p10_makeup)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_margins, p2_found, p2_pairs, p2_file_pairs, p5_found, p5_neighbours, p9_mix, p9_shares, p7_found, p7_errors, p7_rates, p8_found, p8_leaks, p10_found, p10_makeup)}
 SQL: dict[str, str] = {}
