@@ -107,9 +107,13 @@ class Grammar:
         return "".join(out)
 
     def _join(self, rule: str) -> str:
-        """X ( SEP X )* with a single copy of X: go on after SEP if START follows, end where STOP (or START) does not."""
+        """X ( SEP X )* with a single copy of X: go on after SEP if START follows, end where STOP (or START) does not.
+
+        A rule that ends in "?" may be cut short again by what follows; others are never reopened.
+        """
+        rule, more = (rule[:-2], "") if rule.endswith(" ?") else (rule, "+")
         x, sep, start, *stop = (self._compile(r) for r in rule.split(" ~ "))
-        return f"(?:(?:{x})(?:(?:{sep})(?={start})|(?!{stop[0] if stop else start})))+"
+        return f"(?:(?:{x})(?:(?:{sep})(?={start})|(?!{stop[0] if stop else start})))+{more}"
 
     def reduced(self, content: str) -> str:
         """Bracket-like runs without brackets of their own, innermost first, as one symbol each."""
