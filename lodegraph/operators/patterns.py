@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NONE = F.array().cast("array<string>")
+def none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _members(primary: Column, found: Column) -> Column:
-    return F.concat(F.array(primary), F.coalesce(F.array_sort(F.array_distinct(found)), NONE))
+    return F.concat(F.array(primary), F.coalesce(F.array_sort(F.array_distinct(found)), none()))
 
 
 def _note(*pairs: tuple[Column, Column]) -> Column:
@@ -35,7 +36,7 @@ def listeners_of(symbols: DataFrame, edges: DataFrame, event_kinds: tuple, liste
     by_edge = sides.join(ev.select(F.col("id").alias("a")), "a", "left_semi").join(li.select(F.col("listener").alias("b")), "b", "left_semi").select(F.col("a").alias("id"), F.col("b").alias("listener"))
     # every substring of a listener's name that is as long as some base: an equi join instead of a nested loop
     sizes = [r.n for r in ev.where("base <> ''").select(F.length("base").alias("n")).distinct().limit(500).collect()]
-    subs = li.select("listener", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("l_name") >= n, F.transform(F.sequence(F.lit(1), F.length("l_name") - n + 1), lambda i, n=n: F.substr(F.col("l_name"), i, F.lit(n)))).otherwise(NONE) for n in sizes]))) if sizes else NONE).alias("base"))
+    subs = li.select("listener", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("l_name") >= n, F.transform(F.sequence(F.lit(1), F.length("l_name") - n + 1), lambda i, n=n: F.substr(F.col("l_name"), i, F.lit(n)))).otherwise(none()) for n in sizes]))) if sizes else none()).alias("base"))
     by_name = ev.where("base <> ''").join(subs, "base").select("id", "listener")
     return by_edge.unionByName(by_name).distinct()
 
@@ -47,12 +48,12 @@ def observer(symbols: DataFrame, edges: DataFrame, event_kinds: tuple = ("event"
     return ev.select(F.lit("observer").alias("kind"), F.col("id").alias("primary"), _members(F.col("id"), F.col("found")).alias("members"), F.when(some, 0.9).otherwise(0.6).alias("confidence"), _note((~some, F.format_string("No listeners found for event '%s'", "name"))).alias("violations"))
 
 
-def factory(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def factory(symbols: DataFrame, edges: DataFrame, verbs: tuple = ("create", "build", "make", "from", "of", "new")) -> DataFrame:
     made = edges.where("type = 'instantiates'").select(F.col("source_id").alias("m")).distinct().withColumn("makes", F.lit(True))
-    kids = symbols.where((F.col("kind") == "method") & F.col("name").rlike("^(create|build|make|from|of|new)")).select(F.col("parent").alias("id"), F.col("id").alias("m"))
+    kids = symbols.where((F.col("kind") == "method") & F.col("name").rlike("^(" + "|".join(verbs) + ")")).select(F.col("parent").alias("id"), F.col("id").alias("m"))
     got = kids.join(made, "m", "left").groupBy("id").agg(F.collect_set("m").alias("found"), F.bool_or(F.coalesce("makes", F.lit(False))).alias("makes")).where("makes")
     cls = symbols.where(F.col("kind").isin("class", "abstract_class")).select("id")
-    return cls.join(got, "id").select(F.lit("factory").alias("kind"), F.col("id").alias("primary"), _members(F.col("id"), F.col("found")).alias("members"), F.lit(0.9).alias("confidence"), NONE.alias("violations"))
+    return cls.join(got, "id").select(F.lit("factory").alias("kind"), F.col("id").alias("primary"), _members(F.col("id"), F.col("found")).alias("members"), F.lit(0.9).alias("confidence"), none().alias("violations"))
 
 
 def singleton(symbols: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def repository(symbols: DataFrame, edges: DataFrame, entity_kinds: tuple = ("ent
 
 def all_patterns(symbols: DataFrame, edges: DataFrame, **kinds: tuple) -> DataFrame:
     parts = [
-        observer(symbols, edges, kinds.get("event_kinds", ("event",)), kinds.get("listener_kinds", ("listener",))), factory(symbols, edges), singleton(symbols),
+        observer(symbols, edges, kinds.get("event_kinds", ("event",)), kinds.get("listener_kinds", ("listener",))), factory(symbols, edges, kinds.get("verbs", ("create", "build", "make", "from", "of", "new"))), singleton(symbols),
         strategy(symbols, edges, kinds.get("interface_kinds", ("interface",))), repository(symbols, edges, kinds.get("entity_kinds", ("entity",))),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -123,4 +124,4 @@ def event_flow(symbols: DataFrame, edges: DataFrame, event_kinds: tuple = ("even
     by_name = ev.where("base <> ''").join(li, "base").select("l", "id")
     got = by_edge.select("l", "id").unionByName(by_name).distinct().groupBy("id").agg(F.array_sort(F.collect_set("l")).alias("listeners"))
     j = ev.select("id").join(em, "id", "left").join(got, "id", "left")
-    return j.select("id", F.coalesce("emitters", NONE).alias("emitters"), F.coalesce("listeners", NONE).alias("listeners"), (F.col("emitters").isNotNull() & F.col("listeners").isNotNull()).alias("complete"))
+    return j.select("id", F.coalesce("emitters", none()).alias("emitters"), F.coalesce("listeners", none()).alias("listeners"), (F.col("emitters").isNotNull() & F.col("listeners").isNotNull()).alias("complete"))

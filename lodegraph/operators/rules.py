@@ -122,11 +122,11 @@ def select_rules(rules: list[Rule], include: list[str] | None = None, exclude: l
 
 
 def layer_matrix(symbols: DataFrame, edges: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
-    """Edges between layers that the matrix does not allow; symbols without a layer are left out."""
-    pairs = sorted({f"{a}>{b}" for a, bs in allowed.items() for b in [*bs, a]})
+    """Edges between different layers that the matrix does not allow; symbols without a layer are left out."""
+    pairs = sorted({f"{a}>{b}" for a, bs in allowed.items() for b in bs})
     layer = symbols.where("layer is not null").select("id", "layer")
     j = edges.select("source_id", "target_id").distinct().join(layer.select(F.col("id").alias("source_id"), F.col("layer").alias("source_layer")), "source_id").join(layer.select(F.col("id").alias("target_id"), F.col("layer").alias("target_layer")), "target_id")
-    return j.where(~F.concat_ws(">", "source_layer", "target_layer").isin(pairs)).groupBy("source_layer", "target_layer").agg(F.count(F.lit(1)).alias("n"))
+    return j.where((F.col("source_layer") != F.col("target_layer")) & ~F.concat_ws(">", "source_layer", "target_layer").isin(pairs)).groupBy("source_layer", "target_layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Kinds that are entry points, and kinds whose lack of references means dead code
