@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions import exprs as X
-from lodegraph.operators import changes, coverage, documents, graph, patterns, resolution, retrieval, rules, search, trace
+from lodegraph.operators import changes, coverage, diagrams, documents, graph, patterns, resolution, retrieval, rules, search, trace
+from lodegraph.sources import ingest
 from lodegraph.sources.tables import current_rows, norm_id, norm_path, table
+from lodegraph.streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -327,7 +329,7 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select("primary", F.array_join("members", ",").alias("members"), F.round("confidence", 4).alias("confidence"), F.array_join("violations", "; ").alias("violations"))
 
 
-_KINDS = {"event_kinds": ("model",), "listener_kinds": ("listener", "handler"), "interface_kinds": ("type", "provider"), "entity_kinds": ("model",)}
+_KINDS = {"event_kinds": ("model",), "listener_kinds": ("listener", "handler"), "interface_kinds": ("service", "provider"), "entity_kinds": ("model",)}
 
 
 def _P(spark, d):
@@ -349,9 +351,12 @@ def pattern_singleton(spark, d):
     return _flat(patterns.singleton(_P(spark, d)))
 
 
-@query(f"with {_S}, {_R}, f as (select id, name, seq from s where kind in ('type', 'provider')), p as (select name, arg_min(id, seq) pid from f group by 1), y as (select name, id key from f union select name, name from f), i as (select distinct y.name, x.id member from (select id, unnest(sym_implements) key from s) x join y on y.key = x.key), g as (select name, string_agg(member, ',' order by member) ms from i group by 1 having count(*) >= 2), u as (select distinct f.name from f join r on r.target_id = f.id and r.type = 'uses') select pid \"primary\", pid || ',' || ms members, case when u.name is null then 0.6 else 0.85 end confidence, case when u.name is null then 'Strategy interface ''' || g.name || ''' has no detected consumer using it' else '' end violations from g join p on p.name = g.name left join u on u.name = g.name")
+@query(f"with {_S}, {_R}, f as (select id, name, seq from s where kind in ('service', 'provider')), p as (select name, arg_min(id, seq) pid from f group by 1), i as (select distinct f.name, r.source_id member from r join f on f.id = r.target_id join s on s.id = r.source_id where r.type = 'implements'), g as (select name, string_agg(member, ',' order by member) ms from i group by 1 having count(*) >= 2), u as (select distinct f.name from f join r on r.target_id = f.id and r.type = 'uses') select pid \"primary\", pid || ',' || ms members, case when u.name is null then 0.6 else 0.85 end confidence, case when u.name is null then 'Strategy interface ''' || g.name || ''' has no detected consumer using it' else '' end violations from g join p on p.name = g.name left join u on u.name = g.name")
 def pattern_strategy(spark, d):
-    return _flat(patterns.strategy(_P(spark, d), R(spark, d), _KINDS["interface_kinds"]))
+    """What the ``implements`` edges say takes the place of the array column, which the data leaves mostly empty."""
+    said = R(spark, d).where("type = 'implements'").groupBy(F.col("source_id").alias("id")).agg(F.collect_set("target_id").alias("said"))
+    s = _P(spark, d).join(said, "id", "left").withColumn("sym_implements", F.col("said"))
+    return _flat(patterns.strategy(s, R(spark, d), _KINDS["interface_kinds"]))
 
 
 @query(f"with {_S}, {_R}, p as (select * from s where kind = 'repository' or (kind = 'class' and regexp_matches(name, '(?i)Repository$'))), k as (select parent id, string_agg(id, ',' order by id) ms from s where kind = 'method' and regexp_matches(lower(name), '^(find|save|delete|update|get|remove|create)') group by 1), h as (select distinct source_id id from r join s on s.id = r.target_id and s.kind = 'model' where type in ('uses', 'instantiates')) select p.id \"primary\", p.id || coalesce(',' || ms, '') members, round((case when ms is null then 0 else 4 end + case when h.id is null then 0 else 3 end + case when kind = 'repository' then 3 else 1 end) / 10, 4) confidence, concat_ws('; ', case when ms is null then 'Repository ''' || name || ''' has no standard CRUD methods' end, case when h.id is null then 'Repository ''' || name || ''' has no associated entity' end) violations from p left join k on k.id = p.id left join h on h.id = p.id")
@@ -562,3 +567,28 @@ def _side(shift: int) -> str:
 def api_diff(spark, d):
     s = S(spark, d, "name", "kind", "parent")
     return trace.compare_apis(_api(s, 0), _api(s, 1))
+
+
+# -- event stream, diagrams, parsing -----------------------------------------------------------
+
+
+@query("select time_bucket(interval '1 day', ts) \"start\", event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+def event_windows(spark, d):
+    return incremental.tumbling(table(spark, d, "events"), "1 day").withColumn("total", F.round("total", 4))
+
+
+@query("with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '6 hours' then 0 else 1 end s from events), g as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) k from e) select user_id, min(ts) \"start\", max(ts) + interval '6 hours' \"end\", count(*) n from g group by user_id, k")
+def event_sessions(spark, d):
+    return incremental.sessions(table(spark, d, "events"), "6 hours")
+
+
+@query()
+def parsed_symbols(spark, d):
+    files = current_rows(table(spark, d, "source_files"), "path", ["content"])
+    return ingest.extract_symbols(files.where("content <> ''")).select("id", "name", "kind", "file", "start_line", "end_line", "parent")
+
+
+@query()
+def class_diagram(spark, d):
+    """At most 400 lines, as the diagram allows; a last line tells of the cut."""
+    return diagrams.class_diagram(S(spark, d, "name", "kind", "parent"), R(spark, d))
