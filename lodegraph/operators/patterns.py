@@ -35,8 +35,13 @@ def listeners_of(symbols: DataFrame, edges: DataFrame, event_kinds: tuple, liste
     sides = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     by_edge = sides.join(ev.select(F.col("id").alias("a")), "a", "left_semi").join(li.select(F.col("listener").alias("b")), "b", "left_semi").select(F.col("a").alias("id"), F.col("b").alias("listener"))
     # every substring of a listener's name that is as long as some base: an equi join instead of a nested loop
-    sizes = [r.n for r in ev.where("base <> ''").select(F.length("base").alias("n")).distinct().limit(500).collect()]
-    subs = li.select("listener", F.explode(F.array_distinct(F.flatten(F.array(*[F.when(F.length("l_name") >= n, F.transform(F.sequence(F.lit(1), F.length("l_name") - n + 1), lambda i, n=n: F.substr(F.col("l_name"), i, F.lit(n)))).otherwise(none()) for n in sizes]))) if sizes else none()).alias("base"))
+    sizes = [r.n for r in ev.where("base <> ''").select(F.length("base").alias("n")).distinct().collect()]  # a row per length of a name
+
+    def cuts(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("l_name") - n + 1)
+        return F.when(F.length("l_name") >= n, F.transform(starts, lambda i: F.substr("l_name", i, F.lit(n)))).otherwise(none())
+
+    subs = li.select("listener", F.explode(F.array_distinct(F.flatten(F.array(*[cuts(n) for n in sizes]))) if sizes else none()).alias("base"))
     by_name = ev.where("base <> ''").join(subs, "base").select("id", "listener")
     return by_edge.unionByName(by_name).distinct()
 
