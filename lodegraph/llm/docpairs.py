@@ -147,7 +147,8 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out_id.append(f["id"].iat[i])
                 out_sig.append(f["signature"].iat[i].strip())
                 out_desc.append(desc)
-        yield pd.DataFrame({"symbol_id": out_id, "signature": out_sig, "description": out_desc}, dtype=object)
+        if out_id:
+            yield pd.DataFrame({"symbol_id": out_id, "signature": out_sig, "description": out_desc})
 
 
 def documented(symbols: DataFrame) -> DataFrame:
@@ -215,7 +216,8 @@ def file_pairs(text: str, ext: str) -> list[tuple[int, str, str, str]]:
 def _file_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = [(p, *x) for p, t in zip(f["path"], f["content"]) for x in file_pairs(t or "", p.rsplit(".", 1)[-1])]
-        yield pd.DataFrame(rows, columns=["file", "line", "name", "signature", "description"]).astype({"line": "int32"})
+        if rows:
+            yield pd.DataFrame(rows, columns=["file", "line", "name", "signature", "description"]).astype({"line": "int32"})
 
 
 def documented_in_files(source_files: DataFrame) -> DataFrame:

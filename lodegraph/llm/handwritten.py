@@ -166,6 +166,8 @@ def _threshold(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
+        if not len(f):
+            continue
         got = [features(p, r or "", t or "") for p, r, t in zip(f["path"], f["repo"], f["content"])]
         yield f.drop(columns=["content"]).assign(body=[g[0].astype(np.int32) for g in got], head=[g[1].astype(np.int32) for g in got])
 
@@ -210,7 +212,8 @@ def _judge(model):
                 mb, mh, cb, ch = model.value[fold_of(r)]
                 b, h = features(p, r or "", t)
                 rows.append((p, mb.margin(b) - cb, mh.margin(h) - ch))
-            yield pd.DataFrame(rows, columns=["path", "body", "head"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "body", "head"])
 
     return run
 

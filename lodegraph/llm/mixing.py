@@ -38,6 +38,8 @@ def _count(vocabulary: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoding(vocabulary)
         for f in frames:
+            if not len(f):
+                continue
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in f["text"]]
             yield f[["doc_id", "source", "key"]].assign(tokens=pd.Series(n, index=f.index, dtype="int64"))
 

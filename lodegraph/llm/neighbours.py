@@ -111,7 +111,8 @@ def _cells(index):
             if len(f):
                 n += np.bincount(ix.assign(_unit(np.stack(f["vector"].to_list()).astype(np.float32)), 1)[0][:, 0], minlength=len(n))
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": at.astype(np.int32), "n": n[at]})
+        if len(at):
+            yield pd.DataFrame({"cell": at.astype(np.int32), "n": n[at]})
 
     return run
 

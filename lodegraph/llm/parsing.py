@@ -593,6 +593,8 @@ def confirmed(language: str, text: str) -> bool:
 
 def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
+        if not len(f):
+            continue
         valid, line = [], []
         for path, text in zip(f["path"], f["content"]):
             lang = language_of(path)

@@ -145,6 +145,8 @@ def _posteriors(weights: np.ndarray, ids: np.ndarray, first: np.ndarray, doc: np
 def _extract(bits: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            if not len(f):
+                continue
             ids, sizes, at = [], [], []
             for text in f["text"]:
                 kind = stratum(text or "")
@@ -203,7 +205,8 @@ def _decide(model, subjects: list[str], share: float):
                 np.add.at(deals, doc, post >= 0.5)
             part = deals / n[:, None]
             d, c = np.nonzero((part >= share - 1e-9) & (deals > 0))
-            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()[d], "subject": [subjects[i] for i in c], "share": part[d, c]})
+            if len(d):
+                yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()[d], "subject": [subjects[i] for i in c], "share": part[d, c]})
 
     return run
 
