@@ -68,6 +68,8 @@ def _valid(language: str, code: str) -> str:
 
 def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
+        if not len(f):
+            continue
         errors = [_valid((a or "").lower(), c or "") for a, c in zip(f["language"], f["code"])]
         yield f[["doc", "start_line"]].assign(valid=[not e for e in errors], error=errors)
 

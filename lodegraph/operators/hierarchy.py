@@ -243,7 +243,8 @@ def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(out) == 5000:
                 yield pd.DataFrame({"id": [p[-1] for p in out], "lroot": [p[0] for p in out], "seg": out})
                 out = []
-        yield pd.DataFrame({"id": [p[-1] for p in out], "lroot": [p[0] for p in out], "seg": out}) if out else pd.DataFrame({"id": [], "lroot": [], "seg": []})
+        if out:
+            yield pd.DataFrame({"id": [p[-1] for p in out], "lroot": [p[0] for p in out], "seg": out})
 
 
 def full_paths(forest: DataFrame, links: DataFrame) -> DataFrame:

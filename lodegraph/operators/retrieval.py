@@ -33,6 +33,8 @@ def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     """(id, vector) by an injected batch function."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            if not len(f):
+                continue
             rows = f["text"].fillna("").tolist()
             vectors = [v for i in range(0, len(rows), batch) for v in embed(rows[i : i + batch])]
             yield pd.DataFrame({"id": f["id"], "vector": vectors})

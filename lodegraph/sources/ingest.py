@@ -113,6 +113,8 @@ def extract_symbols(files: DataFrame, strategies: dict[str, Callable[[str, str],
             for p, t in zip(f["path"], f["content"]):
                 parse = table.get(p.rsplit(".", 1)[-1].lower())
                 rows += parse(p, t or "") if parse else []
+            if not rows:
+                continue
             g = pd.DataFrame(rows, columns=cols[:-1]).assign(seq=range(len(rows)))
             yield g.astype({"start_line": "int32", "end_line": "int32", "seq": "int64"})
 
@@ -167,7 +169,8 @@ def git_diff(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [r for t in f["value"] for r in parse_diff(t or "")]
-            yield pd.DataFrame(rows, columns=names).astype({c: "int32" for c in names[3:8]})
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({c: "int32" for c in names[3:8]})
 
     return texts.select("value").mapInPandas(run, "old_path string, file string, status string, idx int, old_start int, old_lines int, new_start int, new_lines int, content string")
 
