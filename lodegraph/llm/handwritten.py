@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.plans.lineage import cut
 from lodegraph.sources.tables import current_rows, norm_path
 
 BITS = 18
@@ -232,11 +233,14 @@ def judged(source_files: DataFrame, symbols: DataFrame, per_label: int = SAMPLE_
     paths are left out; without labels of both kinds no file stands out.
     """
     cur = current_rows(source_files, "path", ["repo", "content"])
-    labels = file_labels(symbols).where("yes <> no")
-    known = cur.join(labels, "path").where("content <> ''")
+    # the sample is drawn from paths alone; only its own files are read again for their features
+    there = current_rows(source_files.select("path", "seq", (F.col("content") != "").alias("filled")), "path", ["filled"]).where("filled").select("path")
+    known = there.join(file_labels(symbols).where("yes <> no"), "path")
     by_hash = [F.xxhash64("path"), F.col("path")]
-    picks = [known.where(c).orderBy(*by_hash).limit(per_label) for c in ("yes > no", "yes < no")]
-    sample = picks[0].unionByName(picks[1]).mapInPandas(_extract, "path string, repo string, yes long, no long, body array<int>, head array<int>").toPandas()
+    picks = known.where("yes > no").orderBy(*by_hash).limit(per_label).unionByName(known.where("yes < no").orderBy(*by_hash).limit(per_label))
+    chosen = F.broadcast(cut(picks))  # at most 2 * per_label short rows
+    few = current_rows(source_files.join(chosen.select("path"), "path", "left_semi"), "path", ["repo", "content"])
+    sample = few.join(chosen, "path").select("path", "repo", "content", "yes", "no").mapInPandas(_extract, "path string, repo string, yes long, no long, body array<int>, head array<int>").toPandas()
     if sample.empty or not (sample["yes"] > sample["no"]).any() or not (sample["yes"] < sample["no"]).any():
         return cur.select("path", F.lit(-1.0).alias("body"), F.lit(-1.0).alias("head"))
     model = source_files.sparkSession.sparkContext.broadcast(train(sample.sort_values("path")))
