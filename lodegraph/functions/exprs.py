@@ -162,3 +162,12 @@ def chunk_words(text: Column | str, size: int = 500, overlap: int = 50) -> Colum
 
 def endpoint_key(method: Column | str, path: Column | str) -> Column:
     return F.concat_ws(" ", F.upper(_c(method)), F.regexp_replace(_c(path), r"\{([^}]+)\}", ":$1"))
+
+
+def first_match(file: Column | str, rules: list[tuple[str, str]], default: str | None = None) -> Column:
+    """The value of the first glob, in order, that a path matches."""
+    out = None
+    for pattern, value in rules:
+        hit = glob(file, pattern)
+        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))

@@ -77,3 +77,35 @@ def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def checked_examples(blocks: DataFrame) -> DataFrame:
     """(doc, start_line, valid, error): parsed where the language can be, else valid unless empty."""
     return blocks.mapInPandas(_check, f"doc {dict(blocks.dtypes)['doc']}, start_line int, valid boolean, error string")
+
+
+def merged(stored: DataFrame, configured: DataFrame) -> DataFrame:
+    """Documents by path: a stored row goes before a configured one, which gives the order (``pos``) where it has one."""
+    c = configured.select("path", F.col("title").alias("c_title"), "pos")
+    return stored.select("path", F.col("title").alias("s_title"), F.lit(True).alias("stored")).join(c, "path", "full_outer").select("path", F.when(F.col("stored"), F.col("s_title")).otherwise(F.col("c_title")).alias("title"), "pos")
+
+
+def grouped(docs: DataFrame, by: str) -> DataFrame:
+    """(group, n, paths): documents per category or module, paths sorted."""
+    return docs.groupBy(F.coalesce(F.col(by), F.lit("general")).alias("group")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def pass_rate(checked: DataFrame) -> DataFrame:
+    """One row: examples, valid ones, and their percentage (0 without examples)."""
+    return checked.agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("n_valid")).withColumn("percent", F.coalesce(F.round(F.try_divide(F.col("n_valid") * 100.0, F.col("n")), 4), F.lit(0.0)))
+
+
+def without_section(docs: DataFrame, heading: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, text) with the sections of this heading cut out."""
+    gone = sections(docs, key, text).where(F.col("heading") == heading).groupBy("doc").agg(F.collect_list(F.struct("start_line", "end_line")).alias("cuts"))
+    j = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(gone, "doc", "left")
+    numbered = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("t"), (i + 1).alias("i")))
+    kept = F.filter(numbered, lambda x: ~F.exists("cuts", lambda c: x["i"].between(c["start_line"], c["end_line"])))
+    return j.select("doc", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["t"]), "\n")).alias("text"))
+
+
+def file_pages(symbols: DataFrame) -> DataFrame:
+    """(file, text): a Markdown page per file with its symbols in order."""
+    line = F.concat(F.lit("- `"), "kind", F.lit("` **"), "name", F.lit("** (L"), "start_line", F.lit("-"), "end_line", F.lit(")"), F.when(F.col("summary") != "", F.concat(F.lit(": "), "summary")).otherwise(F.lit("")))
+    g = symbols.select("file", F.struct("start_line", "id", line.alias("line")).alias("x")).groupBy("file").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return g.select("file", F.concat(F.lit("# "), "file", F.lit("\n\n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("text"))

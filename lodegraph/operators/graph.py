@@ -81,3 +81,8 @@ def ego(edges: DataFrame, symbols: DataFrame, center: str, direction: str = "bot
     """Edges into or out of one symbol whose other end exists."""
     out, into = F.col("source_id") == center, F.col("target_id") == center
     return endpoints(edges.where(out if direction == "out" else into if direction == "in" else out | into), symbols, ["name"])
+
+
+def within_files(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges with both ends in one file, with that file."""
+    return endpoints(edges, symbols, ["file"]).where("s_file = t_file").select(F.col("s_file").alias("file"), "source_id", "target_id", "type")

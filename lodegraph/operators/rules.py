@@ -151,3 +151,51 @@ def mark_dead(symbols: DataFrame, dead: DataFrame) -> DataFrame:
     """``violations`` with ``dead_code`` appended once for the dead ones."""
     flag = symbols.join(dead.select("id").withColumn("_d", F.lit(True)), "id", "left")
     return flag.withColumn("violations", F.when(F.col("_d"), F.array_union(F.coalesce("violations", F.array().cast("array<string>")), F.array(F.lit("dead_code")))).otherwise(F.col("violations"))).drop("_d")
+
+
+def named(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Violations with the name and kind of their symbol, null where it is gone."""
+    return found.join(symbols.select(F.col("id").alias("symbol_id"), "name", "kind"), "symbol_id", "left")
+
+
+def without_ignored(found: DataFrame, ignore: dict[str, list[str]]) -> DataFrame:
+    """Violations minus those in paths that their language ignores; unknown languages keep all."""
+    from lodegraph.functions.exprs import language_of
+
+    drop = F.lit(False)
+    for lang, patterns in ignore.items():
+        drop = drop | (F.coalesce(language_of("file") == lang, F.lit(False)) & ignored("file", patterns))
+    return found.where(~drop)
+
+
+def custom_rule(files: DataFrame, check, name: str, severity: str = "warning") -> DataFrame:
+    """(rule, file, n, severity) where a user's ``check(content, path) -> int`` counts anything; its errors count nothing."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for p, t in zip(f["path"], f["content"]):
+                try:
+                    n = int(check(t or "", p) or 0)
+                except Exception:  # a user's rule must not end the job
+                    n = 0
+                if n > 0:
+                    out.append((name, p, n, severity))
+            if out:
+                yield pd.DataFrame(out, columns=["rule", "file", "n", "severity"])
+
+    return files.select("path", "content").mapInPandas(run, "rule string, file string, n long, severity string")
+
+
+def review(symbols: DataFrame, mappings: DataFrame, found: DataFrame) -> DataFrame:
+    """(topic, key, n): violations per severity and rule, documentation rows, complex and dead symbols."""
+    parts = [
+        found.groupBy(F.lit("severity").alias("topic"), F.col("severity").alias("key")).agg(F.count(F.lit(1)).alias("n")),
+        found.groupBy(F.lit("rule").alias("topic"), F.col("rule").alias("key")).agg(F.count(F.lit(1)).alias("n")),
+        symbols.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("metrics.cyclomaticComplexity") > 10).alias("complex"), F.count_if(F.array_contains("violations", "dead_code")).alias("dead")).select(F.explode(F.create_map(F.lit("symbols"), F.col("all"), F.lit("complex"), F.col("complex"), F.lit("dead"), F.col("dead"))).alias("key", "n")).select(F.lit("symbols").alias("topic"), "key", "n"),
+        mappings.agg(F.count(F.lit(1)).alias("n")).select(F.lit("symbols").alias("topic"), F.lit("documented").alias("key"), "n"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -592,3 +592,72 @@ def parsed_symbols(spark, d):
 def class_diagram(spark, d):
     """At most 400 lines, as the diagram allows; a last line tells of the cut."""
     return diagrams.class_diagram(S(spark, d, "name", "kind", "parent"), R(spark, d))
+
+
+# -- reports -----------------------------------------------------------------------------------
+
+
+@query(f"with {_S}, {_R} select a.file, r.type, count(*) n from r join s a on a.id = r.source_id join s b on b.id = r.target_id where a.file = b.file group by 1, 2")
+def file_subgraphs(spark, d):
+    return graph.within_files(R(spark, d), S(spark, d, "file")).groupBy("file", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_S}, {_R}, c as (select target_id id from r join s on s.id = r.target_id group by 1 order by count(*) desc, 1 limit 1) select r.source_id, r.target_id, r.type, a.name s_name, b.name t_name from r join s a on a.id = r.source_id join s b on b.id = r.target_id where r.source_id = (select id from c) or r.target_id = (select id from c)")
+def ego_network(spark, d):
+    e, s = R(spark, d), S(spark, d, "name")
+    top = e.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(s, "id", "left_semi").orderBy(F.desc("n"), "id").first()
+    return graph.ego(e, s, top.id if top else "").select("source_id", "target_id", "type", "s_name", "t_name")
+
+
+@query("select coalesce(source, 'general') as \"group\", count(*) n, string_agg(doc_path, ',' order by doc_path) paths from (select distinct source, doc_path from documents where doc_path is not null) group by 1")
+def docs_by_source(spark, d):
+    docs = table(spark, d, "documents").where("doc_path is not null").select("source", F.col("doc_path").alias("path")).distinct()
+    return documents.grouped(docs, "source").select("group", "n", F.array_join("paths", ",").alias("paths"))
+
+
+@query(f"with a as (select doc_path path, max(source) title from documents where doc_path is not null group by 1), b as (select doc_path path, max(symbol_name) title, max(seq) pos from doc_mappings group by 1) select coalesce(a.path, b.path) path, case when a.path is not null then a.title else b.title end title, b.pos from a full join b on a.path = b.path")
+def merged_docs(spark, d):
+    a = table(spark, d, "documents").where("doc_path is not null").groupBy(F.col("doc_path").alias("path")).agg(F.max("source").alias("title"))
+    b = table(spark, d, "doc_mappings").groupBy(F.col("doc_path").alias("path")).agg(F.max("symbol_name").alias("title"), F.max("seq").alias("pos"))
+    return documents.merged(a, b)
+
+
+@query(f"with {_S}, t as (select file, start_line, id, '- `' || kind || '` **' || name || '** (L' || start_line || '-' || end_line || ')' || case when summary <> '' then ': ' || summary else '' end l from s) select file, sha256('# ' || file || chr(10) || chr(10) || string_agg(l, chr(10) order by start_line, id)) page from t group by 1")
+def file_pages(spark, d):
+    return documents.file_pages(S(spark, d, "file", "kind", "name", "start_line", "end_line", "summary")).select("file", F.sha2("text", 256).alias("page"))
+
+
+@query(f"with {_S}, {_M}, v as (select 'max-complexity' rule, id from s where metrics.cyclomaticComplexity > 4 union all select 'max-parameters', id from s where metrics.parameterCount > 2) select 'severity' topic, 'warning' as key, count(*) n from v having count(*) > 0 union all select 'rule', rule, count(*) from v group by rule union all select 'symbols', 'symbols', count(*) from s union all select 'symbols', 'complex', count(*) filter (metrics.cyclomaticComplexity > 10) from s union all select 'symbols', 'dead', count(*) filter (list_contains(violations, 'dead_code')) from s union all select 'symbols', 'documented', count(*) from m")
+def code_review(spark, d):
+    s = S(spark, d, *rules.SYMBOL_COLUMNS[1:], "violations")
+    found = rules.violations([rules.Rule("max-complexity", "max_complexity", {"max": 4}), rules.Rule("max-parameters", "max_parameters", {"max": 2})], s, R(spark, d))
+    return rules.review(s, M(spark, d), found)
+
+
+@query(f"with {_S} select s.id symbol_id, s.name, s.kind, s.file from s where coalesce(metrics.linesOfCode, end_line - start_line + 1) > 60 and not (regexp_matches(lower(file), '\\.go$') and regexp_matches(file, '^.*/tests/.*$'))")
+def violations_by_language(spark, d):
+    s = S(spark, d, *rules.SYMBOL_COLUMNS[1:])
+    found = rules.without_ignored(rules.violations([rules.Rule("long", "max_lines", {"max": 60})], s, R(spark, d)), {"go": ["**/tests/**"]})
+    return rules.named(found, s).select("symbol_id", "name", "kind", "file")
+
+
+@query(f"with {_S}, f as (select distinct file from s) select case when regexp_matches(file, '^.*/tests/.*$') then 'test' when regexp_matches(file, '^.*/(?:infra)/.*$') then 'adapter' when regexp_matches(file, '^[^/]*/src/.*$') then 'source' else 'other' end prompt, count(*) n from f group by 1")
+def prompt_rules(spark, d):
+    p = X.first_match("file", [("**/tests/**", "test"), ("**/infra/**", "adapter"), ("*/src/**", "source")], "other")
+    return S(spark, d, "file").select("file").distinct().groupBy(p.alias("prompt")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with a as (select path, arg_min(content, seq) c, arg_max(content, seq) e, count(*) n from source_files group by 1 having count(*) > 1), o as (select path, unnest(string_split(c, chr(10))) t, generate_subscripts(string_split(c, chr(10)), 1) line from a), n as (select path, unnest(string_split(e, chr(10))) t, generate_subscripts(string_split(e, chr(10)), 1) line from a) select coalesce(o.path, n.path) path, coalesce(o.line, n.line) line, o.t before, n.t after from o full join n on o.path = n.path and o.line = n.line where o.t is distinct from n.t")
+def file_line_diff(spark, d):
+    f = table(spark, d, "source_files").select("path", "seq", "content")
+    g = f.groupBy("path").agg(F.min_by("content", "seq").alias("a"), F.max_by("content", "seq").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return changes.line_diff(g.select("path", F.col("a").alias("content")), g.select("path", F.col("b").alias("content")), "path", "content")
+
+
+def _todos(content: str, path: str) -> int:
+    return content.count("TODO")
+
+
+@query("with c as (select path, arg_max(content, seq) t from source_files group by 1) select 'todo' rule, path file, (length(t) - length(replace(t, 'TODO', ''))) // 4 n, 'warning' severity from c where contains(t, 'TODO')")
+def custom_rule(spark, d):
+    return rules.custom_rule(current_rows(table(spark, d, "source_files"), "path", ["content"]), _todos, "todo")
