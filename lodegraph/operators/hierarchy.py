@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.plans.lineage import cut
+from lodegraph.plans.lineage import cut, parts_for
 from lodegraph.sources.tables import current_rows, norm_id
 
 MERGE_LIMIT = 400_000
+PART_ROWS = 1_000_000
 FOREST = "pid int, id string, parent string, lroot string, off long, ext string, cyc string, on_cycle boolean"
 
 
@@ -87,7 +88,7 @@ def _local_forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def local_forest(links: DataFrame, near: str | None = None, parts: int | None = None) -> DataFrame:
     """Weighted forests of equal partitions of ``links`` (id, parent, and ``near`` for locality), cut from their lineage."""
-    parts = parts or int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(links.sparkSession, 0, PART_ROWS)
     placed = links.repartitionByRange(parts, *([near] if near else []), "id").select("id", "parent")
     return cut(placed.mapInPandas(_local_forest, FOREST))
 

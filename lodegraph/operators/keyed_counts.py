@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.plans.lineage import parts_for
+
 CHUNK_ROWS = 400_000
+BLOCK_ROWS = 4_000_000
 
 
 def _codes(arrays: list[pa.ChunkedArray | pa.Array]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +97,12 @@ def _sum_block(keys: list[str]):
     return run
 
 
-def keyed_counts(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+def keyed_counts(df: DataFrame, keys: list[str], member: str, rows: int = 0) -> DataFrame:
     """Rows ``n`` and distinct non-null ``members`` per key, evenly spread over the tasks.
 
     Keys must be strings; a null key value forms a group of its own, as in SQL. Repeated rows
-    count in ``n`` and once in ``members``. An empty table gives no rows. Columns other than
+    count in ``n`` and once in ``members``. ``rows``, the size of the table if known, sets the
+    number of key blocks. An empty table gives no rows. Columns other than
     ``keys`` and ``member`` are ignored, whatever their names.
     """
     cols = [*keys, member]
@@ -107,7 +111,7 @@ def keyed_counts(df: DataFrame, keys: list[str], member: str) -> DataFrame:
     split = own.mapInArrow(_count_split(keys, member), f"{kinds}, `{member}` string, n long")
     pairs = split.groupBy(*cols).agg(F.sum("n").alias("n"))
     partial = pairs.mapInArrow(_count_members(keys, member), f"{kinds}, n long, members long")
-    blocks = partial.repartition(F.xxhash64(*keys))
+    blocks = partial.repartition(parts_for(df.sparkSession, rows, BLOCK_ROWS), F.xxhash64(*keys))
     return blocks.mapInArrow(_sum_block(keys), f"{kinds}, n long, members long")
 
 

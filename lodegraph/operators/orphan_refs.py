@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions.bitmaps import Bitmap
-from lodegraph.plans.lineage import broadcast_below, cut
+from lodegraph.plans.lineage import broadcast_below, cut, parts_for
 from lodegraph.sources.tables import month_index, norm_id, norm_path
 
 HEAVY_PARTS = 1024
+RANGE_ROWS = 2_000_000
 FOREVER = 1_000_000
 
 
@@ -58,7 +59,7 @@ def orphan_keys(refs: DataFrame, live: DataFrame, total: int) -> DataFrame:
     """
     r = refs.groupBy("space", "key", F.col("month").alias("lo")).agg(F.count(F.lit(1)).alias("n")).withColumn("hi", F.lit(0))
     p = live.select("space", "key", "lo", "hi").distinct().withColumn("n", F.lit(0).cast("long"))
-    both = r.unionByName(p).repartition(F.xxhash64("space", "key"))
+    both = r.unionByName(p).repartition(parts_for(refs.sparkSession, total, RANGE_ROWS), F.xxhash64("space", "key"))
     return both.mapInPandas(_range_orphans(max(1, -(-total // HEAVY_PARTS))), "space string, key string, month int, n long, orphan boolean")
 
 

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from lodegraph.operators import hierarchy as H
 from lodegraph.operators import keyed_counts as K
 from lodegraph.operators import orphan_refs as O
+from lodegraph.plans.lineage import parts_for
 from lodegraph.sources.tables import month_label, norm_id, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return H.find_cycles(H.parent_links(table(spark, d, "symbols")))
+    symbols = table(spark, d, "symbols")
+    return H.find_cycles(H.parent_links(symbols), parts=parts_for(spark, symbols.count(), H.PART_ROWS))
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(H.parent_links(table(spark, d, "symbols")))
+    symbols = table(spark, d, "symbols")
+    return H.hierarchy(H.parent_links(symbols), parts=parts_for(spark, symbols.count(), H.PART_ROWS))
 
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +34,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
     rel = table(spark, d, "relationships").select(norm_id("target_id").alias("target_id"), norm_id("type").alias("type"), norm_id("source_id").alias("source_id"))
-    return K.keyed_counts(rel, ["target_id", "type"], "source_id")
+    return K.keyed_counts(rel, ["target_id", "type"], "source_id", rel.count())
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_for(spark, rows: int, most: int) -> int:
+    """Partitions so that none holds more than about ``most`` rows, and no fewer than the session shuffles into."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
 def broadcast_below(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only if the counted ``rows`` are within ``limit``; else Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
