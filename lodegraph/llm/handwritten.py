@@ -189,7 +189,7 @@ def train(sample: pd.DataFrame) -> list[tuple[Svm, Svm, float, float]]:
     models: dict[str, list[Svm]] = {}
     cuts = {}
     for col in ("body", "head"):
-        rows = [np.asarray(r, np.int64) for r in sample[col]]
+        rows = [np.asarray(r) for r in sample[col]]
         models[col], margin = [], np.zeros(len(rows))
         for k in range(FOLDS):
             fit = fold != k

@@ -94,4 +94,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_margins, p2_found, p2_pairs, p2_file_pairs, p5_found, p5_neighbours, p9_mix, p9_shares, p7_found, p7_errors, p7_rates, p8_found, p8_leaks, p10_found, p10_makeup)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """with v as (
+  select hash, min(vector)::double[] v from rag_chunks
+  where hash is not null and len(vector) = 64 and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0
+  group by 1),
+p as (select a.hash h, b.hash n, list_cosine_similarity(a.v, b.v) c from v a join v b on a.hash <> b.hash),
+t as (select *, row_number() over (partition by h order by c desc, n) k from p)
+select distinct least(h, n) hash_a, greatest(h, n) hash_b from t where k <= 5 and c >= 0.9""",
+}
