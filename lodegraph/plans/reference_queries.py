@@ -661,3 +661,36 @@ def _todos(content: str, path: str) -> int:
 @query("with c as (select path, arg_max(content, seq) t from source_files group by 1) select 'todo' rule, path file, (length(t) - length(replace(t, 'TODO', ''))) // 4 n, 'warning' severity from c where contains(t, 'TODO')")
 def custom_rule(spark, d):
     return rules.custom_rule(current_rows(table(spark, d, "source_files"), "path", ["content"]), _todos, "todo")
+
+
+@query(f"with {_S}, t as (select id, kind || ' ' || name || ' in ' || file || coalesce(chr(10) || nullif(concat_ws(' | ', 'layer: ' || nullif(layer, ''), 'domain: ' || nullif(domain, ''), 'summary: ' || nullif(summary, ''), 'signature: ' || nullif(signature, '')), ''), '') || coalesce(chr(10) || nullif(source, ''), '') text from s) select id, sha256(text) text_hash, length(text) n from t")
+def symbol_texts(spark, d):
+    t = retrieval.symbol_text(S(spark, d, "kind", "name", "file", "layer", "domain", "summary", "signature", "source"))
+    return t.select("id", F.sha2("text", 256).alias("text_hash"), F.length("text").cast("long").alias("n"))
+
+
+@query(f"with {_S}, {_R}, dd as (select s.id from s where parent is null and exported is distinct from false and kind in ('function', 'method', 'class', 'abstract_class', 'constructor', 'getter', 'setter', 'event', 'service') and not contains(file, 'tests/') and not contains(file, '/fixtures/') and not contains(file, 'site/shared') and not exists (select 1 from r where r.target_id = s.id) and not exists (select 1 from s c where c.parent = s.id)) select id, array_to_string(list_distinct(list_concat(coalesce(violations, []), ['dead_code'])), ',') violations from (select id, list_sort(list_distinct(list_concat(coalesce(violations, []), ['dead_code']))) violations from s where id in (select id from dd))")
+def dead_code_marks(spark, d):
+    s = S(spark, d, "name", "file", "parent", "exported", "kind", "violations")
+    dead = rules.dead_code(s, R(spark, d))
+    marked = rules.mark_dead(s, dead).join(dead.select("id"), "id", "left_semi")
+    return marked.select("id", F.array_join(F.array_sort("violations"), ",").alias("violations"))
+
+
+@query(f"with {_S}, {_R}, q as (select name, arg_max(id, seq) id from s group by 1), x as (select distinct coalesce(a.name, r.source_id) sn, coalesce(b.name, r.target_id) tn from r left join s a on a.id = r.source_id left join s b on b.id = r.target_id where r.type = 'dynamic_call') select coalesce(q2.id, x.tn) source_id, coalesce(q1.id, x.sn) target_id, 'dynamic_call' as type from x left join q q1 on q1.name = x.sn left join q q2 on q2.name = x.tn")
+def dynamic_edges(spark, d):
+    s = S(spark, d, "name", "seq")
+    found = graph.labelled(R(spark, d).where("type = 'dynamic_call'"), s).select(F.col("source").alias("source_name"), F.col("target").alias("target_name")).distinct()
+    return resolution.dynamic_edges(found, s)
+
+
+@query(f"with {_S} select kind, count(*) n from s where name not in ('if', 'for', 'while', 'switch', 'catch', 'return', 'function', 'constructor') group by 1")
+def named_kinds(spark, d):
+    return search.without_ghosts(S(spark, d, "name", "kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_S}, c as (select run_id, unnest(list_distinct(list_transform(coalesce(errors, []), lambda x: regexp_replace(replace(x.file, '\\', '/'), '^(\\./)+', '')))) file from index_results) select c.run_id, count(distinct s.id) n_symbols from c join s on s.file = c.file group by 1")
+def run_symbols(spark, d):
+    """Symbols in the files that each index run had trouble with."""
+    f = table(spark, d, "index_results").select("run_id", F.explode("errors").alias("e")).select("run_id", norm_path("e.file").alias("file")).distinct()
+    return f.join(S(spark, d, "file"), "file").groupBy("run_id").agg(F.countDistinct("id").alias("n_symbols"))
