@@ -24,7 +24,7 @@ STRETCH = 2048
 ITEMS_PER_BLOCK = 20_000
 TABLE_BITS = 20
 
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 # Code points without any width
 _UNSEEN = {0xAD: None, 0x34F: None, 0x61C: None, 0x115F: None, 0x1160: None, 0x17B4: None, 0x17B5: None, 0x180E: None, 0xFEFF: None} | {i: None for a, b in ((0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xE0000, 0xE007F)) for i in range(a, b + 1)}
 _WORD = re.compile(r"[^\W_]+")
