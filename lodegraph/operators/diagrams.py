@@ -48,7 +48,7 @@ def sequence_diagram(edges: DataFrame, limit: int = 400) -> DataFrame:
 def event_flow_diagram(flow: DataFrame, symbols: DataFrame, limit: int = 400) -> DataFrame:
     """Emitters to events to listeners."""
     n = symbols.select("id", diagram_id("name").alias("label"))
-    e = flow.join(n, "id").withColumnRenamed("label", "event")
-    out = e.select("event", F.explode("emitters").alias("id")).join(n, "id").select(F.concat("event", F.lit("0"), "label").alias("at"), F.concat("label", F.lit("->>"), "event", F.lit(": dispatch")).alias("line"))
-    into = e.select("event", F.explode("listeners").alias("id")).join(n, "id").select(F.concat("event", F.lit("1"), "label").alias("at"), F.concat("event", F.lit("->>"), "label", F.lit(": handle")).alias("line"))
+    e = flow.where("role <> 'none'").join(n.withColumnRenamed("label", "event"), "id").select("event", "role", F.col("symbol_id").alias("id")).join(n, "id")
+    out = e.where("role = 'emitter'").select(F.concat("event", F.lit("0"), "label").alias("at"), F.concat("label", F.lit("->>"), "event", F.lit(": dispatch")).alias("line"))
+    into = e.where("role = 'listener'").select(F.concat("event", F.lit("1"), "label").alias("at"), F.concat("event", F.lit("->>"), "label", F.lit(": handle")).alias("line"))
     return _text(out.unionByName(into), "sequenceDiagram", limit)

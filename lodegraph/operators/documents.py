@@ -86,8 +86,8 @@ def merged(stored: DataFrame, configured: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, by: str) -> DataFrame:
-    """(group, n, paths): documents per category or module, paths sorted."""
-    return docs.groupBy(F.coalesce(F.col(by), F.lit("general")).alias("group")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    """(group, n, first, last): documents per category or module with the first and last path."""
+    return docs.groupBy(F.coalesce(F.col(by), F.lit("general")).alias("group")).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.max("path").alias("last"))
 
 
 def pass_rate(checked: DataFrame) -> DataFrame:
@@ -104,8 +104,8 @@ def without_section(docs: DataFrame, heading: str, key: str = "doc_id", text: st
     return j.select("doc", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["t"]), "\n")).alias("text"))
 
 
-def file_pages(symbols: DataFrame) -> DataFrame:
-    """(file, text): a Markdown page per file with its symbols in order."""
+def page_lines(symbols: DataFrame) -> DataFrame:
+    """(file, start_line, id, line): the lines of a Markdown page per file, to be written in this order."""
     line = F.concat(F.lit("- `"), "kind", F.lit("` **"), "name", F.lit("** (L"), "start_line", F.lit("-"), "end_line", F.lit(")"), F.when(F.col("summary") != "", F.concat(F.lit(": "), "summary")).otherwise(F.lit("")))
-    g = symbols.select("file", F.struct("start_line", "id", line.alias("line")).alias("x")).groupBy("file").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return g.select("file", F.concat(F.lit("# "), "file", F.lit("\n\n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("text"))
+    head = symbols.select("file").distinct().select("file", F.lit(0).alias("start_line"), F.lit("").alias("id"), F.concat(F.lit("# "), "file").alias("line"))
+    return head.unionByName(symbols.select("file", "start_line", "id", line.alias("line")))

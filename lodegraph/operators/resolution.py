@@ -37,10 +37,11 @@ def dynamic_edges(found: DataFrame, symbols: DataFrame) -> DataFrame:
     return s.select(F.coalesce("t", "target_name").alias("source_id"), F.coalesce("s", "source_name").alias("target_id"), F.lit("dynamic_call").alias("type"))
 
 
-def references(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, refs, referenced_by): distinct neighbours in order of first mention (edges: source_id, target_id, seq)."""
-    def side(key: str, other: str, out: str) -> DataFrame:
-        first = edges.groupBy(F.col(key).alias("id"), F.col(other).alias("o")).agg(F.min("seq").alias("at"))
-        return first.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "o"))), lambda x: x["o"]).alias(out))
+def references(edges: DataFrame) -> DataFrame:
+    """(id, side, other, first): distinct neighbours of both sides with the order of their first mention (edges: source_id, target_id, seq).
 
-    return symbols.select("id").join(side("source_id", "target_id", "refs"), "id", "left").join(side("target_id", "source_id", "referenced_by"), "id", "left")
+    One row a pair, so that a symbol which a third of the project refers to needs no list.
+    """
+    both = F.array(F.struct(F.col("source_id").alias("id"), F.lit("out").alias("side"), F.col("target_id").alias("other")), F.struct(F.col("target_id").alias("id"), F.lit("in").alias("side"), F.col("source_id").alias("other")))
+    first = edges.groupBy("source_id", "target_id").agg(F.min("seq").alias("first"))
+    return first.select("first", F.explode(both).alias("x")).select("x.id", "x.side", "x.other", "first")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.functions.exprs import chunk_words, cosine, token_estimate, truncated
@@ -60,9 +60,17 @@ def source_window(content: str, start: str, end: str, margin: int = 3, cap: int
 def context(symbols: DataFrame, edges: DataFrame, mappings: DataFrame, cap: int = 20_000) -> DataFrame:
     """(id, text, tokens): a symbol with the names it depends on, its dependents and its documents."""
     name = symbols.select("id", "name")
-    out = edges.join(name.select(F.col("id").alias("target_id"), "name"), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("deps"))
-    into = edges.join(name.select(F.col("id").alias("source_id"), "name"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("users"))
-    docs = mappings.groupBy(F.col("symbol_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("doc_path")), ", ").alias("docs"))
+    # no more than ``cap`` // 3 names can show before the text is cut, so no list grows beyond that
+    most = cap // 3 + 1
+
+    def some(pairs: DataFrame, key: str, out: str) -> DataFrame:
+        w = Window.partitionBy(key).orderBy("x")
+        few = pairs.select(key, F.col("x")).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+        return few.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("x")), ", ").alias(out))
+
+    out = some(edges.join(name.select(F.col("id").alias("target_id"), F.col("name").alias("x")), "target_id").withColumnRenamed("source_id", "id"), "id", "deps")
+    into = some(edges.join(name.select(F.col("id").alias("source_id"), F.col("name").alias("x")), "source_id").withColumnRenamed("target_id", "id"), "id", "users")
+    docs = some(mappings.select(F.col("symbol_name").alias("name"), F.col("doc_path").alias("x")), "name", "docs")
     j = symbols.join(out, "id", "left").join(into, "id", "left").join(docs, "name", "left")
     part = lambda c, label: F.concat(F.lit(label), F.col(c))
     text = truncated(F.concat_ws("\n", F.format_string("%s %s (%s)", "kind", "name", "file"), part("deps", "uses: "), part("users", "used by: "), part("docs", "docs: ")), cap, "... (truncated)")

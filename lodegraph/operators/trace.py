@@ -22,13 +22,13 @@ def comment_refs(files: DataFrame) -> DataFrame:
 
 
 def matrix(refs: DataFrame, symbols: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(ticket, symbols, tests, docs): sorted distinct names and paths per ticket (refs: ticket, file)."""
+    """(ticket, role, value): the symbols, test files and documents of each ticket, a row each (refs: ticket, file)."""
     test = F.lower("file").rlike(r"\.(test|spec)\.|(^|/)tests?/")
     r = refs.select("ticket", "file").distinct()
-    s = r.join(symbols.select("file", "name"), "file", "left")
-    d = s.join(mappings.select(F.col("symbol_name").alias("name"), "doc_path"), "name", "left")
-    join = lambda c: F.array_join(F.array_sort(c), ",")
-    return d.groupBy("ticket").agg(join(F.collect_set(F.when(~test, F.col("name")))).alias("symbols"), join(F.collect_set(F.when(test, F.col("file")))).alias("tests"), join(F.collect_set("doc_path")).alias("docs"))
+    s = r.join(symbols.select("file", "name"), "file")
+    d = s.join(mappings.select(F.col("symbol_name").alias("name"), "doc_path"), "name")
+    parts = [s.where(~test).select("ticket", F.lit("symbol").alias("role"), F.col("name").alias("value")), r.where(test).select("ticket", F.lit("test").alias("role"), F.col("file").alias("value")), d.select("ticket", F.lit("doc").alias("role"), F.col("doc_path").alias("value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("value is not null").distinct()
 
 
 def endpoints_in_code(symbols: DataFrame) -> DataFrame:

@@ -172,10 +172,9 @@ def rebuilt_edge_counts(spark, d):
     return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_id").alias("n_targets"))
 
 
-@query(f"with {_S}, q as (select lower(trim(source_id, E' \\t\\r\\n')) a, lower(trim(target_id, E' \\t\\r\\n')) b, min(seq) q from relationships group by 1, 2), o as (select a id, string_agg(b, ',' order by q, b) refs from q group by 1), i as (select b id, string_agg(a, ',' order by q, a) referenced_by from q group by 1) select s.id, o.refs, i.referenced_by from s left join o on o.id = s.id left join i on i.id = s.id")
+@query("with q as (select lower(trim(source_id, E' \\t\\r\\n')) a, lower(trim(target_id, E' \\t\\r\\n')) b, min(seq) q from relationships group by 1, 2) select a id, 'out' side, b other, q \"first\" from q union all select b, 'in', a, q from q")
 def collected_references(spark, d):
-    e = table(spark, d, "relationships").select(norm_id("source_id").alias("source_id"), norm_id("target_id").alias("target_id"), "seq")
-    return resolution.references(S(spark, d), e).select("id", F.array_join("refs", ",").alias("refs"), F.array_join("referenced_by", ",").alias("referenced_by"))
+    return resolution.references(table(spark, d, "relationships").select(norm_id("source_id").alias("source_id"), norm_id("target_id").alias("target_id"), "seq"))
 
 
 # -- figures -----------------------------------------------------------------------------------
@@ -246,9 +245,10 @@ def search_facets(spark, d):
 
 @query("with e as (select x.error msg, x.file from (select unnest(errors) x from index_results)) select msg, count(*) n, string_agg(file, ',' order by file) filter (k <= 5) files from (select *, row_number() over (partition by msg order by file) k from e) group by 1")
 def index_error_groups(spark, d):
+    """Counts per message, and its first five files: the limit works before the shuffle, so a frequent message costs no more."""
     e = table(spark, d, "index_results").select(F.explode("errors").alias("e")).select(F.col("e.error").alias("msg"), F.col("e.file").alias("file"))
-    k = e.withColumn("k", F.row_number().over(Window.partitionBy("msg").orderBy("file")))
-    return k.groupBy("msg").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("file")))), ",").alias("files"))
+    few = e.withColumn("k", F.row_number().over(Window.partitionBy("msg").orderBy("file"))).where("k <= 5").groupBy("msg").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("files"))
+    return e.groupBy("msg").agg(F.count(F.lit(1)).alias("n")).join(few, "msg", "left")
 
 
 @query(f"with {_S}, {_R}, {_M}, x as (select 'symbols' metric, count(*)::double as value from s union all select 'edges', count(*) from r union all select 'documented', count(*) from m union all select 'files', count(distinct file) from s union all select 'patterned', count(pattern) from s union all select 'deprecated', count(*) filter (deprecated) from s) select * from x union all select 'edges_per_symbol', round((select count(*) from r) / (select count(*) from s), 6) union all select 'doc_rows_percent', round(100.0 * (select count(*) from m) / (select count(*) from s), 6)")
@@ -326,7 +326,7 @@ def layer_matrix(spark, d):
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("primary", F.array_join("members", ",").alias("members"), F.round("confidence", 4).alias("confidence"), F.array_join("violations", "; ").alias("violations"))
+    return df.select("primary", "member", F.round("confidence", 4).alias("confidence"), F.array_join("violations", "; ").alias("violations"))
 
 
 _KINDS = {"event_kinds": ("model",), "listener_kinds": ("listener", "handler"), "interface_kinds": ("service", "provider"), "entity_kinds": ("model",)}
@@ -336,30 +336,30 @@ def _P(spark, d):
     return S(spark, d, "name", "kind", "parent", "visibility", "sym_implements", "seq")
 
 
-@query(f"with {_S}, {_R}, ev as (select id, name, lower(regexp_replace(name, 'Events?$', '')) base from s where kind = 'model'), li as (select id, lower(name) n from s where kind in ('listener', 'handler')), e as (select source_id a, target_id b from r union select target_id, source_id from r), x as (select ev.id, li.id l from ev join e on e.a = ev.id join li on li.id = e.b union select ev.id, li.id from ev join li on contains(li.n, ev.base)), g as (select id, string_agg(l, ',' order by l) ls from x group by 1) select ev.id \"primary\", ev.id || coalesce(',' || ls, '') members, case when ls is null then 0.6 else 0.9 end confidence, case when ls is null then 'No listeners found for event ''' || name || '''' else '' end violations from ev left join g on g.id = ev.id")
+@query(f"select \"primary\", unnest(string_split(members, ',')) member, confidence, violations from (with {_S}, {_R}, ev as (select id, name, lower(regexp_replace(name, 'Events?$', '')) base from s where kind = 'model'), li as (select id, lower(name) n from s where kind in ('listener', 'handler')), e as (select source_id a, target_id b from r union select target_id, source_id from r), x as (select ev.id, li.id l from ev join e on e.a = ev.id join li on li.id = e.b union select ev.id, li.id from ev join li on contains(li.n, ev.base)), g as (select id, string_agg(l, ',' order by l) ls from x group by 1) select ev.id \"primary\", ev.id || coalesce(',' || ls, '') members, case when ls is null then 0.6 else 0.9 end confidence, case when ls is null then 'No listeners found for event ''' || name || '''' else '' end violations from ev left join g on g.id = ev.id)")
 def pattern_observer(spark, d):
     return _flat(patterns.observer(_P(spark, d), R(spark, d), _KINDS["event_kinds"], _KINDS["listener_kinds"]))
 
 
-@query(f"with {_S}, {_R}, k as (select parent id, id m, id in (select source_id from r where type = 'instantiates') makes from s where kind = 'method' and regexp_matches(name, '^(load|render|resolve|parse)')), g as (select id, string_agg(m, ',' order by m) ms from k group by 1 having bool_or(makes)) select g.id \"primary\", g.id || ',' || ms members, 0.9 confidence, '' violations from g join s on s.id = g.id where s.kind in ('class', 'abstract_class')")
+@query(f"select \"primary\", unnest(string_split(members, ',')) member, confidence, violations from (with {_S}, {_R}, k as (select parent id, id m, id in (select source_id from r where type = 'instantiates') makes from s where kind = 'method' and regexp_matches(name, '^(load|render|resolve|parse)')), g as (select id, string_agg(m, ',' order by m) ms from k group by 1 having bool_or(makes)) select g.id \"primary\", g.id || ',' || ms members, 0.9 confidence, '' violations from g join s on s.id = g.id where s.kind in ('class', 'abstract_class'))")
 def pattern_factory(spark, d):
     return _flat(patterns.factory(_P(spark, d), R(spark, d), ("load", "render", "resolve", "parse")))
 
 
-@query(f"with {_S}, k as (select parent id, bool_or(kind = 'constructor' and coalesce(visibility = 'private', false)) p, bool_or(name in ('instance', 'getInstance')) i from s where parent is not null group by 1) select s.id \"primary\", s.id members, case when p and i then 0.95 else 0.6 end confidence, case when p and not i then 'Singleton ''' || name || ''' has private constructor but no static instance accessor' when i and not p then 'Singleton ''' || name || ''' has static instance but constructor is not private' else '' end violations from s join k on k.id = s.id where s.kind = 'class' and (p or i)")
+@query(f"select \"primary\", unnest(string_split(members, ',')) member, confidence, violations from (with {_S}, k as (select parent id, bool_or(kind = 'constructor' and coalesce(visibility = 'private', false)) p, bool_or(name in ('instance', 'getInstance')) i from s where parent is not null group by 1) select s.id \"primary\", s.id members, case when p and i then 0.95 else 0.6 end confidence, case when p and not i then 'Singleton ''' || name || ''' has private constructor but no static instance accessor' when i and not p then 'Singleton ''' || name || ''' has static instance but constructor is not private' else '' end violations from s join k on k.id = s.id where s.kind = 'class' and (p or i))")
 def pattern_singleton(spark, d):
     return _flat(patterns.singleton(_P(spark, d)))
 
 
-@query(f"with {_S}, {_R}, f as (select id, name, seq from s where kind in ('service', 'provider')), p as (select name, arg_min(id, seq) pid from f group by 1), i as (select distinct f.name, r.source_id member from r join f on f.id = r.target_id join s on s.id = r.source_id where r.type = 'implements'), g as (select name, string_agg(member, ',' order by member) ms from i group by 1 having count(*) >= 2), u as (select distinct f.name from f join r on r.target_id = f.id and r.type = 'uses') select pid \"primary\", pid || ',' || ms members, case when u.name is null then 0.6 else 0.85 end confidence, case when u.name is null then 'Strategy interface ''' || g.name || ''' has no detected consumer using it' else '' end violations from g join p on p.name = g.name left join u on u.name = g.name")
+@query(f"select \"primary\", unnest(string_split(members, ',')) member, confidence, violations from (with {_S}, {_R}, f as (select id, name, seq from s where kind in ('service', 'provider')), p as (select name, arg_min(id, seq) pid from f group by 1), i as (select distinct f.name, r.source_id member from r join f on f.id = r.target_id join s on s.id = r.source_id where r.type = 'implements'), g as (select name, string_agg(member, ',' order by member) ms from i group by 1 having count(*) >= 2), u as (select distinct f.name from f join r on r.target_id = f.id and r.type = 'uses') select pid \"primary\", pid || ',' || ms members, case when u.name is null then 0.6 else 0.85 end confidence, case when u.name is null then 'Strategy interface ''' || g.name || ''' has no detected consumer using it' else '' end violations from g join p on p.name = g.name left join u on u.name = g.name)")
 def pattern_strategy(spark, d):
     """What the ``implements`` edges say takes the place of the array column, which the data leaves mostly empty."""
-    said = R(spark, d).where("type = 'implements'").groupBy(F.col("source_id").alias("id")).agg(F.collect_set("target_id").alias("said"))
-    s = _P(spark, d).join(said, "id", "left").withColumn("sym_implements", F.col("said"))
-    return _flat(patterns.strategy(s, R(spark, d), _KINDS["interface_kinds"]))
+    e, sy = R(spark, d), _P(spark, d)
+    said = e.where("type = 'implements'").select(F.col("source_id").alias("member"), F.col("target_id").alias("key")).join(sy.select(F.col("id").alias("member")), "member", "left_semi")
+    return _flat(patterns.strategy(sy, e, _KINDS["interface_kinds"], said))
 
 
-@query(f"with {_S}, {_R}, p as (select * from s where kind = 'repository' or (kind = 'class' and regexp_matches(name, '(?i)Repository$'))), k as (select parent id, string_agg(id, ',' order by id) ms from s where kind = 'method' and regexp_matches(lower(name), '^(find|save|delete|update|get|remove|create)') group by 1), h as (select distinct source_id id from r join s on s.id = r.target_id and s.kind = 'model' where type in ('uses', 'instantiates')) select p.id \"primary\", p.id || coalesce(',' || ms, '') members, round((case when ms is null then 0 else 4 end + case when h.id is null then 0 else 3 end + case when kind = 'repository' then 3 else 1 end) / 10, 4) confidence, concat_ws('; ', case when ms is null then 'Repository ''' || name || ''' has no standard CRUD methods' end, case when h.id is null then 'Repository ''' || name || ''' has no associated entity' end) violations from p left join k on k.id = p.id left join h on h.id = p.id")
+@query(f"select \"primary\", unnest(string_split(members, ',')) member, confidence, violations from (with {_S}, {_R}, p as (select * from s where kind = 'repository' or (kind = 'class' and regexp_matches(name, '(?i)Repository$'))), k as (select parent id, string_agg(id, ',' order by id) ms from s where kind = 'method' and regexp_matches(lower(name), '^(find|save|delete|update|get|remove|create)') group by 1), h as (select distinct source_id id from r join s on s.id = r.target_id and s.kind = 'model' where type in ('uses', 'instantiates')) select p.id \"primary\", p.id || coalesce(',' || ms, '') members, round((case when ms is null then 0 else 4 end + case when h.id is null then 0 else 3 end + case when kind = 'repository' then 3 else 1 end) / 10, 4) confidence, concat_ws('; ', case when ms is null then 'Repository ''' || name || ''' has no standard CRUD methods' end, case when h.id is null then 'Repository ''' || name || ''' has no associated entity' end) violations from p left join k on k.id = p.id left join h on h.id = p.id)")
 def pattern_repository(spark, d):
     return _flat(patterns.repository(_P(spark, d), R(spark, d), _KINDS["entity_kinds"]))
 
@@ -370,10 +370,9 @@ def pattern_annotation(spark, d):
     return patterns.annotated(s, patterns.all_patterns(s, R(spark, d), **_KINDS))
 
 
-@query(f"with {_S}, {_R}, ev as (select id, lower(regexp_replace(name, 'Event$', '')) base from s where kind = 'model'), li as (select id l, lower(regexp_replace(name, '(Listener|Handler|Subscriber)$', '')) base from s where kind in ('listener', 'handler')), em as (select target_id id, string_agg(distinct source_id, ',' order by source_id) e from r where type in ('uses', 'instantiates') and source_id in (select id from s where kind not in ('listener', 'handler')) group by 1), sd as (select source_id l, target_id id from r union select target_id, source_id from r), x as (select sd.l, sd.id from sd where l in (select l from li) union select li.l, ev.id from ev join li on li.base = ev.base and ev.base <> ''), g as (select id, string_agg(l, ',' order by l) ls from x group by 1) select ev.id, coalesce(e, '') emitters, coalesce(ls, '') listeners, e is not null and ls is not null complete from ev left join em on em.id = ev.id left join g on g.id = ev.id")
+@query(f"with {_S}, {_R}, ev as (select id, lower(regexp_replace(name, 'Event$', '')) base from s where kind = 'model'), li as (select id l, lower(regexp_replace(name, '(Listener|Handler|Subscriber)$', '')) base from s where kind in ('listener', 'handler')), sd as (select source_id l, target_id id from r union select target_id, source_id from r), x as (select distinct r.target_id id, 'emitter' as role, r.source_id symbol_id from r join ev on ev.id = r.target_id where type in ('uses', 'instantiates') and source_id in (select id from s where kind not in ('listener', 'handler')) union select sd.id, 'listener', sd.l from sd join ev on ev.id = sd.id where l in (select l from li) union select ev.id, 'listener', li.l from ev join li on li.base = ev.base and ev.base <> ''), c as (select id, count(distinct role) = 2 complete from x group by 1) select x.id, role, symbol_id, complete from x join c on c.id = x.id union all select id, 'none', null, false from ev where id not in (select id from x)")
 def event_flow(spark, d):
-    f = patterns.event_flow(S(spark, d, "name", "kind"), R(spark, d), _KINDS["event_kinds"], _KINDS["listener_kinds"])
-    return f.select("id", F.array_join("emitters", ",").alias("emitters"), F.array_join("listeners", ",").alias("listeners"), "complete")
+    return patterns.event_flow(S(spark, d, "name", "kind"), R(spark, d), _KINDS["event_kinds"], _KINDS["listener_kinds"])
 
 
 # -- changes -----------------------------------------------------------------------------------
@@ -542,7 +541,7 @@ def ticket_refs(spark, d):
     return trace.commit_refs(_commits(spark, d))
 
 
-@query(f"with {_S}, {_M}, {_REFS}, x as (select f.ticket, f.file, regexp_matches(lower(f.file), '\\.(test|spec)\\.|(^|/)tests?/') test, s.name, m.doc_path from f left join s on s.file = f.file left join m on m.symbol_name = s.name where f.file is not null) select ticket, coalesce(string_agg(distinct name, ',' order by name) filter (not test), '') symbols, coalesce(string_agg(distinct file, ',' order by file) filter (test), '') tests, coalesce(string_agg(distinct doc_path, ',' order by doc_path), '') docs from x group by 1")
+@query(f"with {_S}, {_M}, {_REFS}, g as (select distinct ticket, file, regexp_matches(lower(file), '\\.(test|spec)\\.|(^|/)tests?/') test from f where file is not null), n as (select g.*, s.name from g join s on s.file = g.file) select distinct ticket, 'symbol' as role, name as value from n where not test union select ticket, 'test', file from g where test union select ticket, 'doc', m.doc_path from n join m on m.symbol_name = n.name where m.doc_path is not null")
 def traceability_matrix(spark, d):
     return trace.matrix(trace.commit_refs(_commits(spark, d)), S(spark, d, "file", "name"), M(spark, d))
 
@@ -609,10 +608,10 @@ def ego_network(spark, d):
     return graph.ego(e, s, top.id if top else "").select("source_id", "target_id", "type", "s_name", "t_name")
 
 
-@query("select coalesce(source, 'general') as \"group\", count(*) n, string_agg(doc_path, ',' order by doc_path) paths from (select distinct source, doc_path from documents where doc_path is not null) group by 1")
+@query("select coalesce(source, 'general') as \"group\", count(*) n, min(doc_path) \"first\", max(doc_path) \"last\" from (select distinct source, doc_path from documents where doc_path is not null) group by 1")
 def docs_by_source(spark, d):
     docs = table(spark, d, "documents").where("doc_path is not null").select("source", F.col("doc_path").alias("path")).distinct()
-    return documents.grouped(docs, "source").select("group", "n", F.array_join("paths", ",").alias("paths"))
+    return documents.grouped(docs, "source")
 
 
 @query(f"with a as (select doc_path path, max(source) title from documents where doc_path is not null group by 1), b as (select doc_path path, max(symbol_name) title, max(seq) pos from doc_mappings group by 1) select coalesce(a.path, b.path) path, case when a.path is not null then a.title else b.title end title, b.pos from a full join b on a.path = b.path")
@@ -622,9 +621,9 @@ def merged_docs(spark, d):
     return documents.merged(a, b)
 
 
-@query(f"with {_S}, t as (select file, start_line, id, '- `' || kind || '` **' || name || '** (L' || start_line || '-' || end_line || ')' || case when summary <> '' then ': ' || summary else '' end l from s) select file, sha256('# ' || file || chr(10) || chr(10) || string_agg(l, chr(10) order by start_line, id)) page from t group by 1")
+@query(f"with {_S} select file, start_line, id, '- `' || kind || '` **' || name || '** (L' || start_line || '-' || end_line || ')' || case when summary <> '' then ': ' || summary else '' end line from s union all select distinct file, 0, '', '# ' || file from s")
 def file_pages(spark, d):
-    return documents.file_pages(S(spark, d, "file", "kind", "name", "start_line", "end_line", "summary")).select("file", F.sha2("text", 256).alias("page"))
+    return documents.page_lines(S(spark, d, "file", "kind", "name", "start_line", "end_line", "summary"))
 
 
 @query(f"with {_S}, {_M}, v as (select 'max-complexity' rule, id from s where metrics.cyclomaticComplexity > 4 union all select 'max-parameters', id from s where metrics.parameterCount > 2) select 'severity' topic, 'warning' as key, count(*) n from v having count(*) > 0 union all select 'rule', rule, count(*) from v group by rule union all select 'symbols', 'symbols', count(*) from s union all select 'symbols', 'complex', count(*) filter (metrics.cyclomaticComplexity > 10) from s union all select 'symbols', 'dead', count(*) filter (list_contains(violations, 'dead_code')) from s union all select 'symbols', 'documented', count(*) from m")

@@ -36,15 +36,15 @@ def search_index(symbols: DataFrame) -> DataFrame:
 
 def matrix_text(matrix: DataFrame, kind: str = "md") -> DataFrame:
     """Traceability rows as lines of a Markdown table or a CSV file, header first (column ``line``)."""
-    cols = ["ticket", "symbols", "tests", "docs"]
+    cols = ["ticket", "role", "value"]
     if kind == "md":
-        head = ["| Ticket | Symbols | Tests | Docs |", "| --- | --- | --- | --- |"]
+        head = ["| Ticket | Role | Value |", "| --- | --- | --- |"]
         line = F.concat(F.lit("| "), F.concat_ws(" | ", *cols), F.lit(" |"))
     else:
-        head = ["ticket,symbols,tests,docs"]
+        head = ["ticket,role,value"]
         line = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in cols])
-    top = matrix.sparkSession.createDataFrame([(i, "", h) for i, h in enumerate(head)], "at int, ticket string, line string")
-    return top.unionByName(matrix.select(F.lit(len(head)).alias("at"), "ticket", line.alias("line"))).orderBy("at", "ticket").select("line")
+    top = matrix.sparkSession.createDataFrame([(i, h) for i, h in enumerate(head)], "at int, line string")
+    return top.unionByName(matrix.select(F.lit(len(head)).alias("at"), line.alias("line"))).orderBy("at", "line").select("line")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

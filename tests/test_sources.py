@@ -62,6 +62,6 @@ def test_stream_and_windows(spark, tmp_path):
 
 
 def test_matrix_text(spark):
-    m = spark.createDataFrame([("A-1", "x", "", "d")], "ticket string, symbols string, tests string, docs string")
-    assert [r.line for r in sinks.matrix_text(m).collect()][-1] == "| A-1 | x |  | d |"
-    assert [r.line for r in sinks.matrix_text(m, "csv").collect()] == ["ticket,symbols,tests,docs", '"A-1","x","","d"']
+    m = spark.createDataFrame([("A-1", "symbol", 'x"y')], "ticket string, role string, value string")
+    assert [r.line for r in sinks.matrix_text(m).collect()][-1] == '| A-1 | symbol | x"y |'
+    assert [r.line for r in sinks.matrix_text(m, "csv").collect()] == ["ticket,role,value", '"A-1","symbol","x""y"']
