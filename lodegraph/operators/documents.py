@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodegraph.plans.lineage import cut
+
 
 def text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
@@ -38,9 +40,21 @@ def fenced_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def navigation(docs: DataFrame) -> DataFrame:
-    """(path, previous, next) within each module, by title and path; explicit links win."""
-    w = Window.partitionBy("module").orderBy("title", "path")
-    return docs.select("path", F.coalesce("previous", F.lag("path").over(w)).alias("previous"), F.coalesce("next", F.lead("path").over(w)).alias("next"))
+    """(path, previous, next) within each module, by title and path; explicit links win.
+
+    The rows are range-partitioned over the whole order, so a large module is spread out; only
+    the first and last row of each partition travel to its neighbours.
+    """
+    key = ["module", "title", "path"]
+    rows = cut(docs.select(*key, F.col("previous").alias("p"), F.col("next").alias("n")).repartitionByRange(*key).withColumn("pid", F.spark_partition_id()))
+    row = F.struct(*key)
+    ends = rows.groupBy("pid").agg(F.min(row).alias("first"), F.max(row).alias("last"))  # a row a partition
+    over = Window.orderBy("pid")
+    ends = ends.select("pid", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
+    w = Window.partitionBy("pid").orderBy(*key)
+    at = rows.join(F.broadcast(ends), "pid").select("path", "module", "p", "n", F.coalesce(F.lag(row).over(w), "before").alias("b"), F.coalesce(F.lead(row).over(w), "after").alias("a"))
+    near = lambda c: F.when(F.col(f"{c}.module").eqNullSafe(F.col("module")) & F.col(c).isNotNull(), F.col(f"{c}.path"))
+    return at.select("path", F.coalesce("p", near("b")).alias("previous"), F.coalesce("n", near("a")).alias("next"))
 
 
 def undocumented(symbols: DataFrame, mappings: DataFrame) -> DataFrame:
