@@ -73,8 +73,8 @@ class Index:
         return near, np.stack(codes, axis=1).astype(np.uint8)
 
     def tables(self, u: np.ndarray) -> list[np.ndarray]:
-        """Per subspace, the inner products of every query with every code."""
-        return [u[:, p] @ b.T for p, b in zip(self.parts, self.books)]
+        """Per subspace, the inner products of every code (row) with every query."""
+        return [b @ u[:, p].T for p, b in zip(self.parts, self.books)]
 
 
 def _vectors(col: pd.Series) -> np.ndarray:
@@ -124,9 +124,11 @@ def _scan(index, k: int, keep: int):
         out_s = np.full((len(q), k), -2.0, np.float64)
         for a in range(0, len(q), QUERIES):
             part = u[a : a + QUERIES]
-            score = np.repeat((part @ ix.centroids[cell])[:, None], len(ids), axis=1)
-            for m, t in enumerate(ix.tables(part)):
-                score += t[:, codes[:, m]]
+            score = np.repeat((part @ ix.centroids[cell])[None, :], len(ids), axis=0)
+            row = np.empty_like(score)
+            for m, t in enumerate(ix.tables(part)):  # whole rows of a table are looked up: contiguous copies
+                score += np.take(t, codes[m], axis=0, out=row, mode="clip")
+            score = np.ascontiguousarray(score.T)
             r = min(keep, len(ids))
             cand = np.argpartition(-score, r - 1, axis=1)[:, :r] if r < len(ids) else np.tile(np.arange(r), (len(part), 1))
             cos = np.einsum("qd,qrd->qr", part, unit[cand])
@@ -162,7 +164,7 @@ def _scan(index, k: int, keep: int):
                     continue  # nobody lives in this cell
                 if ready is None:
                     ids, codes, exact = (np.concatenate(z) for z in zip(*held))
-                    ready = ids, codes, exact, _unit(exact)
+                    ready = ids, np.ascontiguousarray(codes.T.astype(np.intp)), exact, _unit(exact)
                 yield search(ix, key[0], *ready, g["id"].to_numpy(np.int64), _vectors(g["vec"]))
 
     return run
