@@ -33,6 +33,7 @@ NONE_SCORE = 2.5
 
 _FENCE = re.compile(r"^[ \t>*/#]*(```|~~~).*?(?:^[ \t>*/#]*\1[^\n]*$|\Z)", re.S | re.M)
 _HEADING = re.compile(r"^\s{0,3}#{1,6}(\s|$)")
+_UNDERLINE = re.compile(r"^\s{0,3}(=+|-{3,})\s*$")
 _RULE = re.compile(r"^\s*(=+|-{3,}|\*{3,}|_{3,})\s*$")
 _MARKS = re.compile(r"^[\s>*/#|+-]+|[\s*/|]+$")
 _SPEAKER = re.compile(r"^\[[\w .-]+\]\s*")
@@ -65,6 +66,8 @@ def sentences(text: str) -> list[str]:
         if _HEADING.match(raw) and not block:
             lines.append("")
             continue
+        if lines and _UNDERLINE.match(raw):
+            lines[-1] = ""  # what it underlines is a heading
         line = "" if _RULE.match(raw) else _SPEAKER.sub("", _MARKS.sub("", raw))
         block = raw.lstrip().startswith(("/*", "*", "//"))
         if line and lines and lines[-1] and line[0].islower() and lines[-1][-1] not in ".!?;:":

@@ -49,5 +49,5 @@ def test_dirty_rows(spark):
 
 
 def test_sentences():
-    text = "# Head\n\nOne here. Two there!\n\n/**\n * Three lines\n * Four lines.\n */\n- five\n[reviewer] Six wraps\nonto the next line.\n```js\ncode.\n```\n***\n"
+    text = "# Head\n\nUnder a line\n===\nOne here. Two there!\n\n/**\n * Three lines\n * Four lines.\n */\n- five\n[reviewer] Six wraps\nonto the next line.\n```js\ncode.\n```\n***\n"
     assert S.sentences(text) == ["One here.", "Two there!", "Three lines", "Four lines.", "five", "Six wraps onto the next line."]
