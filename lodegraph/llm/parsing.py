@@ -73,6 +73,8 @@ class Grammar:
         self.top = re.compile(self._compile(top), re.S)
         stmt = self._compile("%stmt") if "stmt" in macros else None
         self.prefix = re.compile(f"(?:{stmt}[;{self.symbol('Z')}{self.symbol('NL')}]?)*+", re.S) if stmt else None
+        self.question, self.colon = self.symbol("?") if flavour else "\x01", self.symbol(":")
+        self.optional = "".join(map(self.symbol, (",", ";", "Z", "=", ":"))) if flavour == "TS" else ""
         self.memo: dict[tuple[str, str], str] = {}
 
     def symbol(self, name: str) -> str:
@@ -123,6 +125,19 @@ class Grammar:
                 content, n = rule.subn(symbol, content)
         return content
 
+    def unpaired(self, content: str) -> bool:
+        """Whether a conditional in the span lacks its second branch (``?`` marks of optional members aside)."""
+        if self.question not in content:
+            return False
+        waiting = 0
+        for i, c in enumerate(content):
+            if c == self.question:
+                after = content[i + 1 : i + 2]
+                waiting += not (self.optional and (after in self.optional or 0xF0000 <= ord(after or " ") < 0xF4000 and self.colon not in content[i:]))
+            elif c == self.colon and waiting:
+                waiting -= 1
+        return waiting > 0
+
     def cell(self, kind: str, content: str) -> str:
         """The symbol for a span of this content; bit mask 0 if no rule derives it."""
         key = (kind, content)
@@ -133,6 +148,8 @@ class Grammar:
             for bit, rule in self.cells[kind]:
                 if rule.fullmatch(content):
                     mask |= bit
+            if mask and self.unpaired(content):
+                mask = 0
             got = chr(_BASE[kind] + mask)
             if len(content) <= MEMO_LENGTH:
                 if len(self.memo) >= MEMO_CELLS:
@@ -176,7 +193,7 @@ def parse(grammar: Grammar, tokens: str, soft: str = "") -> int | None:
         return len(tokens) - 1 if tokens else 0
     frames[-1].append(tokens[last:])
     content = grammar.reduced("".join(frames[0]))
-    if grammar.top.fullmatch(content):
+    if grammar.top.fullmatch(content) and not grammar.unpaired(content):
         return None
     return _place(grammar, tokens, 0, len(tokens), content)
 
