@@ -30,7 +30,7 @@ MEMO_LENGTH = 400
 
 _BASE = {"P": 0xF0000, "S": 0xF4000, "B": 0xF8000, "I": 0xFC000}
 _OPEN, _CLOSE = {"(": "P", "[": "S", "{": "B", "\x02": "I"}, {")": "P", "]": "S", "}": "B", "\x03": "I"}
-_ITEM = re.compile(r"'(?P<op>[^']+)'|(?P<cell>[PSBI]\.\w+)|%(?P<macro>\w+)|(?P<meta>(?:[!<]\(|[()|*+?])+)|(?P<sym>\w+)")
+_ITEM = re.compile(r"'(?P<op>[^']+)'|(?P<cell>[PSBI]\.\w+)|%(?P<macro>\w+)|(?P<meta>(?:[!<=]\(|[()|*+?])+)|(?P<sym>\w+)")
 
 
 class Grammar:
@@ -99,7 +99,7 @@ class Grammar:
                     self._done[name] = "(?:" + (self._join(self._macros[name]) if name in self._joins else self._compile(self._macros[name])) + ")"
                 out.append(self._done[name])
             elif m["meta"]:
-                out.append(re.sub(r"[!<]?\(", lambda x: {"(": "(?:", "!(": "(?!", "<(": "(?<="}[x[0]], m["meta"]))
+                out.append(re.sub(r"[!<=]?\(", lambda x: {"(": "(?:", "!(": "(?!", "<(": "(?<=", "=(": "(?="}[x[0]], m["meta"]))
             elif m["sym"] == "END":
                 out.append("(?!.)")
             elif m["sym"] == "NEVER":
@@ -436,6 +436,10 @@ class PhpLexer(Lexer):
         kw = "".join(self.fixed.values())
         self.member = re.compile(f"(?<=[{re.escape(s('->') + s('?->') + s('::'))}])[{re.escape(kw.replace(s('class'), ''))}]")
         self.called = re.compile(f"(?<=[{s('function')}{s('const')}])[{re.escape(kw.replace(s('array'), ''))}](?=[({re.escape(s('='))}])")
+        # a constant on the left of an assignment, other than as a member or in a declaration
+        ops = "".join(map(s, ("-", "+", "*", "/", "%", ".", "<", ">", "==", "!=", "===", "!==", "<=", ">=", "&&", "||", "??", "=", "!", "return", "echo")))
+        gets = "".join(map(s, ("=", "+=", "-=", "*=", "/=", ".=", "%=", "**=", "??=", "&=", "|=", "^=", "<<=", ">>=")))
+        self.constant_set = re.compile(f"(?<=[{re.escape(ops)}])[{s('ID')}{s('N')}{s('NUM')}{s('STR')}](?=[{re.escape(gets)}])")
         self.named = re.compile(f"(?<=[(,])[{re.escape(kw)}](?={re.escape(s(':'))}(?!{re.escape(s(':'))}))")
 
     def classify(self, t: str) -> str:
@@ -456,7 +460,7 @@ class PhpLexer(Lexer):
             if low in self.fixed:
                 return self.fixed[low]
             if "\\" in t:
-                return s("N") if t != "\\" else self.err
+                return self.err if t == "\\" else s("NB") if t.endswith("\\") else s("N")
             return s("ID") if t.isidentifier() else self.err
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
             return s("NUM") if re.fullmatch(r"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]*|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?", t) else self.err
@@ -479,7 +483,7 @@ class PhpLexer(Lexer):
         kind = self.kind
         k = "".join([kind(t[0]) for t in self.scan.finditer(body)])
         word = self.g.symbol("ID")
-        return head + self.named.sub(word, self.called.sub(word, self.member.sub(word, k))), []
+        return self.constant_set.sub(self.err, head + self.named.sub(word, self.called.sub(word, self.member.sub(word, k)))), []
 
     def soft(self) -> str:
         return ""
