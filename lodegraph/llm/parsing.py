@@ -291,6 +291,11 @@ class JsLexer(Lexer):
         # a keyword is a name after a dot, before a colon in an object, or as a key or member name before "("
         self.member = re.compile(f"(?<=[{re.escape(s('.') + s('?.'))}])\n*[{as_name}]")
         self.key = re.compile(f"(?<=[{{;{re.escape(s('Z') + s(','))}])([{as_name}])(?=[{re.escape(s(':'))}])")
+        # a literal or ``this`` on the left of an assignment; in TypeScript only where a statement begins, as types may end so
+        fixed = "".join(map(s, ("this", "NUM", "STR", "true", "false", "null")))
+        gets = "".join(map(s, ("=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", "&=", "|=", "^=", "&&=", "||=", "??=")))
+        begin = f"(?<=[;{{}}{re.escape(self.z)}])" if flavour == "TS" else f"(?<![{re.escape(s('.') + s('?.'))}])"
+        self.fixed_set = re.compile(f"{begin}[{re.escape(fixed)}](?=[{re.escape(gets)}])")
         self.case_default = s("default")
         self.star = s("*")
 
@@ -372,6 +377,7 @@ class JsLexer(Lexer):
     def finish(self, k: str) -> str:
         k = self.member.sub(self.kw, k) if "\n" not in k else self.member.sub(lambda m: self.kw, k)
         k = self.break_.sub(self.z, k).replace("\n", "")
+        k = self.fixed_set.sub(self.err, k)
         return self.key.sub(lambda m: m[1] if m[1] == self.case_default else self.kw, k)
 
     def symbols(self, text: str) -> tuple[str, list[int]]:

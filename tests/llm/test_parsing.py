@@ -13,11 +13,11 @@ GOOD = {
     "ts": ["interface I<T extends object = {}> extends J, K<T> { (x: number): string; m?(): void; readonly [k: string]: any }\ntype U = A<B<C>> | ((x: number) => void)[];\nabstract class Q<T> implements I<T> { constructor(private readonly a: string, b = 3) { super() } abstract f(): void; g(x: unknown): x is string { return (x as any)!.y } }\nenum E { A = 1, B }\ndeclare module 'm' { export const z: number }\nexport const h = <T,>(x: T): Promise<Map<string, T[]>> => x as unknown as Promise<never>;\n"],
 }
 BAD = {
-    "go": ["", "package a\nx := 1\n", "package a\nfunc f() {\n\tx := []int{1 2}\n}\n", "package a\nfunc f() {\n<<<<<<< ours\n}\n", "package a\nfunc f() {\n\tif x {\n}\n", "package a\nvar s = \"open\n", "package a\nfunc f() {\n\tm := map[string]int{\"a\": 1\n\t}\n}\n", "<!DOCTYPE html>\n"],
-    "php": ["<?php $x = 1", "<?php function f( {}", "<?php $a = [1 2];", "<?php class A { x y }", "<?php\n=======\n", "<?php if ($a { }", "<?php $x = 'open;"],
-    "py": ["def f(:\n", "if x\n    y\n", "x = [1 2]\n", "  x = 1\n y = 2\n", "def f():\n", '"""open\n', "print 'x'\n", "a b\n", "x = (1,\n", "class A:\n    def f(self):\n        pass\n   x = 1\n"],
-    "js": ["const x = ;", "return x as any\n", "function f(x: number) {}", "foo(a b)", "class A { x y z }", "a +", "x = {a: 1 b: 2}", "if (a { b }", "}", "let s = 'open\n", "`open"],
-    "ts": ["x = [y * 2 for y in z]\n", "class A { async f(: string) {} }", "let x: = 1", "=======\n", "foo(a b)"],
+    "go": ["", "package a\nx := 1\n", "package a\nfunc f() {\n\tx := []int{1 2}\n}\n", "package a\nfunc f() {\n<<<<<<< ours\n}\n", "package a\nfunc f() {\n\tif x {\n}\n", "package a\nvar s = \"open\n", "package a\nfunc f() {\n\tm := map[string]int{\"a\": 1\n\t}\n}\n", "<!DOCTYPE html>\n", ";package a\n", "package a\nfunc f(a int, .b) {}\n", "package a\nfunc f() {\n\tif x = nil {\n\t}\n}\n"],
+    "php": ["<?php $x = 1", "<?php function f( {}", "<?php $a = [1 2];", "<?php class A { x y }", "<?php\n=======\n", "<?php if ($a { }", "<?php $x = 'open;", "<?php $a - b = 1;", "<?php foreach ($a as b) {}", "<?php new A, (1);", "<?php use A\\;"],
+    "py": ["def f(:\n", "if x\n    y\n", "x = [1 2]\n", "  x = 1\n y = 2\n", "def f():\n", '"""open\n', "print 'x'\n", "a b\n", "x = (1,\n", "f(a=1, b)\n", "from import a\n", "x = y[]\n", "raise E('a')return x\n", "import a,\n", "class A:\n    def f(self):\n        pass\n   x = 1\n"],
+    "js": ["const x = ;", "return x as any\n", "function f(x: number) {}", "foo(a b)", "class A { x y z }", "a +", "x = {a: 1 b: 2}", "if (a { b }", "}", "let s = 'open\n", "`open", "x = a ? [b];", "x = a ? b : c, y = d ? e", "const x;", "for (let, i = 0;;) {}", "this = 1"],
+    "ts": ["x = [y * 2 for y in z]\n", "class A { async f(: string) {} }", "let x: = 1", "=======\n", "foo(a b)", "return x as ;", "x = y as .any"],
 }
 
 
