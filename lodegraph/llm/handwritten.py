@@ -170,7 +170,7 @@ def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(f):
             continue
         got = [features(p, r or "", t or "") for p, r, t in zip(f["path"], f["repo"], f["content"])]
-        yield f.drop(columns=["content"]).assign(body=[g[0].astype(np.int32) for g in got], head=[g[1].astype(np.int32) for g in got])
+        yield f.drop(columns=["content"]).assign(body=[g[0].astype(np.int32).tobytes() for g in got], head=[g[1].astype(np.int32).tobytes() for g in got])
 
 
 def fold_of(repo: str | None) -> int:
@@ -189,7 +189,7 @@ def train(sample: pd.DataFrame) -> list[tuple[Svm, Svm, float, float]]:
     models: dict[str, list[Svm]] = {}
     cuts = {}
     for col in ("body", "head"):
-        rows = [np.asarray(r) for r in sample[col]]
+        rows = [np.frombuffer(r, np.int32) for r in sample[col]]  # bytes: a list of numbers each would fill the driver
         models[col], margin = [], np.zeros(len(rows))
         for k in range(FOLDS):
             fit = fold != k
@@ -240,7 +240,7 @@ def judged(source_files: DataFrame, symbols: DataFrame, per_label: int = SAMPLE_
     picks = known.where("yes > no").orderBy(*by_hash).limit(per_label).unionByName(known.where("yes < no").orderBy(*by_hash).limit(per_label))
     chosen = F.broadcast(cut(picks))  # at most 2 * per_label short rows
     few = current_rows(source_files.join(chosen.select("path"), "path", "left_semi"), "path", ["repo", "content"])
-    sample = few.join(chosen, "path").select("path", "repo", "content", "yes", "no").mapInPandas(_extract, "path string, repo string, yes long, no long, body array<int>, head array<int>").toPandas()
+    sample = few.join(chosen, "path").select("path", "repo", "content", "yes", "no").mapInPandas(_extract, "path string, repo string, yes long, no long, body binary, head binary").toPandas()
     if sample.empty or not (sample["yes"] > sample["no"]).any() or not (sample["yes"] < sample["no"]).any():
         return cur.select("path", F.lit(-1.0).alias("body"), F.lit(-1.0).alias("head"))
     model = source_files.sparkSession.sparkContext.broadcast(train(sample.sort_values("path")))
