@@ -3,7 +3,8 @@
 Two classifiers share the labels that ``symbols.generated`` gives each file, noisy as it is.
 The body classifier sees hashed character n-grams of the code and of its shape, the components
 of the path and how the code relates to its repository, with all comments that might give the
-file away masked; the head classifier sees only the comments at the top. A file is
+file away masked; the head classifier sees only the comments, all of them: those at the top, at
+the foot and between code are judged each on their own, and the strongest counts. A file is
 always judged by classifiers fitted on other repositories, so no wrong label is learned by heart.
 """
 
@@ -26,6 +27,7 @@ SAMPLE_PER_LABEL = 4000
 HEAD_LINES = 14
 EPOCHS = 12
 FOLDS = 4
+PLACES = ("top", "foot", "between")
 
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|(?<![:\w\"'])//[^\n]*|(?<![\w\"'&])#(?!\[|!)[^\n]*|<!--.*?-->|\"\"\".*?(?:\"\"\"|\Z)", re.S)
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
@@ -49,24 +51,36 @@ def _grams(data: bytes, n: int, salt: int, bits: int) -> np.ndarray:
     return np.unique(h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _top(text: str) -> tuple[str, str]:
-    """Comments that begin in the first lines, and the text without any comment."""
+def _comments(text: str) -> tuple[dict[str, str], str]:
+    """The comments by place (top, foot, between), and the text without any comment.
+
+    At the top are comments that begin in the first lines or before any code, at the foot those
+    that no code follows.
+    """
     end = 0
     for _ in range(HEAD_LINES):
         end = text.find("\n", end) + 1
         if not end:
             end = len(text)
             break
-    head, body, last = [], [], 0
+    found, body, last = [], [], 0
     strings = [(m.start(), m.end()) for m in _STRING.finditer(text[: end + 400])]
     for m in _COMMENT.finditer(text):
         if any(a < m.start() < b for a, b in strings):
             continue
-        if m.start() < end:
-            head.append(m[0])
+        found.append(m)
         body.append(text[last : m.start()])
         last = m.end()
-    return "\n".join(head), "".join(body) + text[last:]
+    body.append(text[last:])
+    first, foot = 0, len(found)
+    while first < len(found) and not body[first].strip():
+        first += 1
+    while foot and body[foot].strip() in ("", "?>"):
+        foot -= 1
+    places: dict[str, list[str]] = {p: [] for p in PLACES}
+    for i, m in enumerate(found):
+        places["top" if m.start() < end or i < first else "foot" if i >= foot else "between"].append(m[0])
+    return {p: "\n".join(c) for p, c in places.items()}, "".join(body)
 
 
 _UPPER = re.compile(r"\b(?:class|interface|trait|struct|type|package|namespace|enum)\s+(?:App\\)?([A-Za-z]\w*)")
@@ -77,9 +91,9 @@ def _stem(repo: str) -> str:
 
 
 def features(path: str, repo: str, text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids for the body and for the head classifier."""
+    """Feature ids for the body and for the head classifier, the latter as parts that -1 separates: the top, then other places with comments."""
     text = text.replace("\r", "").lstrip("﻿")
-    head, body = _top(text)
+    comments, body = _comments(text)
     own = _stem(repo)
     marks: list[str] = []
     steps = path.split("/")
@@ -107,13 +121,21 @@ def features(path: str, repo: str, text: str, bits: int = BITS) -> tuple[np.ndar
     shape = re.sub(r"0+", "0", re.sub(r"a+", "a", body.translate(_SHAPE)))
     raw = body.encode("utf-8", "replace")
     ids = np.concatenate([np.array([_crc(m, bits) for m in marks for m in (m, m + "'", m + "''")], np.int64), _grams(raw, 4, 17, bits), _grams(re.sub(r"[ \t]+", " ", shape).encode("utf-8", "replace"), 6, 23, bits)])
-    words = []
-    for w in _WORD.findall(head):
-        low = w.lower()
-        words.append("own" if own and low == own else low)
-    grams = {f"h:{w}" for w in words} | {f"h:{a} {b}" for a, b in zip(words, words[1:])}
-    marks_head = {"h:@" + m.lower() for m in re.findall(r"@[\w-]+", head)} | {"h:" + m for m in ("/*!", "<auto", "(c)", "v0.0") if m in re.sub(r"\d+", "0", head.lower())}
-    return np.unique(ids), np.unique(np.array([_crc(g, bits) for g in grams | marks_head] or [0], np.int64))
+    parts: list = []
+    for place, said in comments.items():
+        words = ["own" if own and w == own else w for w in map(str.lower, _WORD.findall(said))]
+        grams = {*words} | {f"{a} {b}" for a, b in zip(words, words[1:])} | {"@" + m.lower() for m in re.findall(r"@[\w-]+", said)} | {m for m in ("/*!", "<auto", "(c)", "v0.0") if m in re.sub(r"\d+", "0", said.lower())}
+        if grams or place == "top":
+            # what is said at the top and at the foot is learned together; between code the same words often mean a part of the file
+            keys = ("between",) if place == "between" else ("h", place)
+            parts += [[-1], np.unique(np.array([_crc(f"{k}:{g}", bits) for g in grams for k in keys] or [0], np.int64))]
+    return np.unique(ids), np.concatenate(parts[1:])
+
+
+def _parts(ids: np.ndarray) -> list[np.ndarray]:
+    """The rows of features that -1 separates."""
+    at = np.flatnonzero(ids < 0)
+    return np.split(ids[ids >= 0], at - np.arange(len(at)))
 
 
 _SHAPE = {i: ("a" if chr(i).isalpha() or i == 95 else "0" if chr(i).isdigit() else chr(i)) for i in range(128)} | {i: "a" for i in range(192, 592)}
@@ -189,15 +211,18 @@ def train(sample: pd.DataFrame) -> list[tuple[Svm, Svm, float, float]]:
     models: dict[str, list[Svm]] = {}
     cuts = {}
     for col in ("body", "head"):
-        rows = [np.frombuffer(r, np.int32) for r in sample[col]]  # bytes: a list of numbers each would fill the driver
+        rows = [_parts(np.frombuffer(r, np.int32)) for r in sample[col]]  # bytes: a list of numbers each would fill the driver
+        flat = [p for r in rows for p in r]
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         models[col], margin = [], np.zeros(len(rows))
         for k in range(FOLDS):
             fit = fold != k
             if not (y[fit] > 0).any() or not (y[fit] < 0).any():
                 fit = np.ones(len(y), bool)
-            m = Svm().fit([r for r, u in zip(rows, fit) if u], y[fit], weight[fit])
+            use = fit[of]
+            m = Svm().fit([p for p, u in zip(flat, use) if u], y[of][use], weight[of][use])
             models[col].append(m)
-            margin[fold == k] = [m.margin(rows[i]) for i in np.flatnonzero(fold == k)]
+            margin[fold == k] = [max(map(m.margin, rows[i])) for i in np.flatnonzero(fold == k)]
         cuts[col] = _threshold(margin, y, weight)
     return [(b, h, cuts["body"], cuts["head"]) for b, h in zip(models["body"], models["head"])]
 
@@ -207,12 +232,12 @@ def _judge(model):
         for f in frames:
             rows = []
             for p, r, t in zip(f["path"], f["repo"], f["content"]):
-                if not t or not _WORD.search(_top(t)[1]):
+                if not t or not _WORD.search(_comments(t)[1]):
                     rows.append((p, -1.0, -1.0))  # nothing but comments, if anything
                     continue
                 mb, mh, cb, ch = model.value[fold_of(r)]
                 b, h = features(p, r or "", t)
-                rows.append((p, mb.margin(b) - cb, mh.margin(h) - ch))
+                rows.append((p, mb.margin(b) - cb, max(map(mh.margin, _parts(h))) - ch))
             if rows:
                 yield pd.DataFrame(rows, columns=["path", "body", "head"])
 

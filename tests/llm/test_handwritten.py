@@ -54,3 +54,22 @@ def test_without_labels_or_files(spark):
     assert H.not_by_hand(f, s.where("false")).count() == 0
     assert H.not_by_hand(f, s.where("generated")).count() == 0
     assert H.not_by_hand(f.where("false"), s).count() == 0
+
+
+def test_marker_far_below_the_top(spark):
+    """Bodies as by hand: only a comment after all code tells, with others between."""
+    r = random.Random(4)
+    files, symbols, want = [], [], set()
+    for k in range(8):
+        own = "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+        for i in range(40):
+            path, text = f"{own}-core/src/f{r.randrange(10**6)}.ts", hand(r, own)
+            if i % 4 == 0:
+                mark = f"// Code generated by toolx v{r.randrange(9)}. DO NOT EDIT.\n"
+                text = text + mark if i % 8 else mark + text
+                want.add(path)
+            files.append((path, f"{own}-core", text, 1, 7))
+            symbols.append((f"{k}-{i}", 1, path, i % 4 == 0))
+    assert all(f[2].count("\n") > H.HEAD_LINES + 2 for f in files)
+    got = {x.path for x in H.judged(spark.createDataFrame(files, FILE), spark.createDataFrame(symbols, SYM)).where("head > 0").collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
