@@ -384,11 +384,13 @@ j as (select coalesce(a.name, b.name) name, coalesce(a.kind, b.kind) kind, a.v o
 df as (select name, kind, case when ov is null then 'added' when nv is null then 'removed' when ov.sg is not null and nv.sg is not null and ov.sg <> nv.sg then 'signature_changed' when ov.el - ov.sl <> nv.el - nv.sl then 'body_changed' when ov.sl <> nv.sl or ov.el <> nv.el then 'moved' end change, coalesce(nv, ov) v from j)"""
 
 
+_SNAPSHOT = ("seq", "name", "kind", "file", "start_line", "end_line", "signature")
+
+
 def _diff(spark, d) -> DataFrame:
     """The first and the current row of every symbol as two snapshots."""
-    cols = ("seq", "name", "kind", "file", "start_line", "end_line", "signature")
-    first = table(spark, d, "symbols").groupBy("id").agg(F.min(F.struct(*cols)).alias("r")).select("id", "r.*")
-    return changes.snapshot_diff(first, S(spark, d, *cols))
+    first = table(spark, d, "symbols").groupBy("id").agg(F.min(F.struct(*_SNAPSHOT)).alias("r")).select("id", "r.*")
+    return changes.snapshot_diff(first, S(spark, d, *_SNAPSHOT))
 
 
 @query(f"with {_DIFF} select name, kind, change, v.id id from df where change is not null")
@@ -400,9 +402,9 @@ _HUNKS = "h as (select file, cast(rank as int) idx, start_line + 1 new_start, 3
 
 
 def _hunks(spark, d) -> DataFrame:
-    """Three hunks a file, placed by its first symbols."""
-    s = S(spark, d, "file", "start_line").withColumn("idx", F.row_number().over(Window.partitionBy("file").orderBy("start_line", "id"))).where("idx <= 3")
-    return s.select("file", "idx", (F.col("start_line") + 1).alias("new_start"), F.lit(3).alias("new_lines"), F.concat(F.lit("@@ "), "id").alias("content"))
+    """A hunk of three lines for every current symbol; its start gives the order within the file. ``_HUNKS`` has those of the first three symbols of a file only."""
+    s = S(spark, d, *_SNAPSHOT)  # the columns of ``_diff``, whose shuffle is used again
+    return s.select("file", F.col("start_line").alias("idx"), (F.col("start_line") + 1).alias("new_start"), F.lit(3).alias("new_lines"), F.concat(F.lit("@@ "), "id").alias("content"))
 
 
 @query(f"with {_DIFF}, {_HUNKS}, t as (select df.name, df.kind, string_agg(h.content, chr(10) order by h.idx, h.content) dd from df join h on h.file = df.v.file where change is not null and h.new_start <= df.v.el and h.new_start + h.new_lines >= df.v.sl group by 1, 2) select df.name, df.kind, change, coalesce(dd, '') diff, change in ('added', 'removed', 'signature_changed') doc_update_required from df left join t on t.name = df.name and t.kind = df.kind where change is not null and (change in ('added', 'removed') or dd is not null)")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from lodegraph import schemas
 from lodegraph.functions import exprs as X
 from lodegraph.operators import changes, coverage, diagrams, documents, graph, patterns, resolution, retrieval, rules, search, trace
+from lodegraph.plans import reference_queries
 from lodegraph.sources import sinks
 
 EDGE = "source_id string, target_id string, type string"
@@ -117,6 +118,14 @@ def test_snapshot_diff_and_hunks(spark):
     assert {r.name for r in changes.change_impact(d, edge).collect()} >= {"c"}
 
 
+def test_change_impact_reaches_every_symbol_of_a_file(spark, tmp_path):
+    old = [{"id": f"m{i:02}", "file": "src/a.ts", "start_line": 10 * i, "end_line": 10 * i + 8, "signature": "f()"} for i in range(12)]
+    rows = old + [{**r, "signature": "f(x)"} for r in old]
+    sym(spark, rows).write.parquet(str(tmp_path / "symbols.parquet"))
+    got = {r.name: (r.change, r.diff) for r in reference_queries.change_impact(spark, str(tmp_path)).collect()}
+    assert got == {r["id"]: ("signature_changed", "@@ " + r["id"]) for r in old}
+
+
 def test_coverage_and_enclosing(spark):
     s = sym(spark, [{"id": "outer", "start_line": 1, "end_line": 200}, {"id": "inner", "start_line": 60, "end_line": 70}])
     lines = spark.createDataFrame([("src/a.ts", i, i % 2) for i in range(50, 80)], "file string, line int, hits int")
