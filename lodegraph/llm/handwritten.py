@@ -29,8 +29,12 @@ EPOCHS = 12
 FOLDS = 4
 PLACES = ("top", "foot", "between")
 
-_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|(?<![:\w\"'])//[^\n]*|(?<![\w\"'&])#(?!\[|!)[^\n]*|<!--.*?-->|\"\"\".*?(?:\"\"\"|\Z)", re.S)
-_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
+# comments and strings are scanned together: what opens first holds the other
+_SPANS = re.compile(
+    r"(?P<comment>/\*.*?(?:\*/|\Z)|(?<![:\w\"'])//[^\n]*|(?<![\w\"'&])#(?!\[|!)[^\n]*|<!--.*?-->|\"\"\".*?(?:\"\"\"|\Z))"
+    r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`",
+    re.S,
+)
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _HEX = re.compile(r"^(?:0x)?[0-9a-f]{6,}$")
@@ -64,9 +68,8 @@ def _comments(text: str) -> tuple[dict[str, str], str]:
             end = len(text)
             break
     found, body, last = [], [], 0
-    strings = [(m.start(), m.end()) for m in _STRING.finditer(text[: end + 400])]
-    for m in _COMMENT.finditer(text):
-        if any(a < m.start() < b for a, b in strings):
+    for m in _SPANS.finditer(text):
+        if m["comment"] is None:
             continue
         found.append(m)
         body.append(text[last : m.start()])

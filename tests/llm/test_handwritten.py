@@ -73,3 +73,9 @@ def test_marker_far_below_the_top(spark):
     assert all(f[2].count("\n") > H.HEAD_LINES + 2 for f in files)
     got = {x.path for x in H.judged(spark.createDataFrame(files, FILE), spark.createDataFrame(symbols, SYM)).where("head > 0").collect()}
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_comment_marks_in_late_strings():
+    code = "".join(f"const a{i} = {i};\n" for i in range(60)) + "const glob = 'src/*.ts', open = \"/* not a comment\", url = ` // nor this # one`;\nfunction last() {}\n"
+    said, body = H._comments(code + "// it's the end\n")
+    assert body == code + "\n" and said == {"top": "", "foot": "// it's the end", "between": ""}
