@@ -414,8 +414,9 @@ def change_impact(spark, d):
 
 @query(f"with {_DIFF}, {_M}, dc as (select doc_path from m where seq % 2 = 0) select name, kind, change from df where change is not null and name not in (select symbol_name from m where doc_path in (select doc_path from dc))")
 def doc_guard(spark, d):
-    m = M(spark, d)
-    return changes.doc_guard(_diff(spark, d), m, m.where("seq % 2 = 0")).select("name", "kind", "change")
+    """A document changed if its mapping rows were updated at more than one time; the SQL has rows of even ``seq`` in its place."""
+    changed = table(spark, d, "doc_mappings").groupBy("doc_path").agg(F.min("updated_at").alias("a"), F.max("updated_at").alias("b")).where("a < b")
+    return changes.doc_guard(_diff(spark, d), M(spark, d), changed).select("name", "kind", "change")
 
 
 @query("with a as (select path, arg_min(sha256(coalesce(content, '')), seq) h from source_files group by 1), b as (select path, arg_max(sha256(coalesce(content, '')), seq) h from source_files where path not in (select f from (select unnest(removed_files) f from index_results) where f is not null) group by 1) select coalesce(a.path, b.path) path, case when a.path is null then 'added' when b.path is null then 'removed' when a.h = b.h then 'unchanged' else 'changed' end status from a full join b on a.path = b.path")

@@ -126,6 +126,16 @@ def test_change_impact_reaches_every_symbol_of_a_file(spark, tmp_path):
     assert got == {r["id"]: ("signature_changed", "@@ " + r["id"]) for r in old}
 
 
+@pytest.mark.parametrize("shift", [0, 1])
+def test_doc_guard_goes_by_updates_not_by_parity(spark, tmp_path, shift):
+    old = [{"id": i, "signature": "f()"} for i in ("told", "untold", "bare")]
+    sym(spark, old + [{**r, "signature": "f(x)"} for r in old]).write.parquet(str(tmp_path / "symbols.parquet"))
+    rows = [("told", "a.md", None, "2025-01-01", 2 + shift), ("told", "a.md", None, "2025-02-01", 4 + shift), ("untold", "b.md", None, "2025-01-01", 6 + shift)]
+    m = spark.createDataFrame(rows, "symbol_name string, doc_path string, section string, updated_at string, seq long")
+    m.withColumn("updated_at", F.col("updated_at").cast("timestamp")).write.parquet(str(tmp_path / "doc_mappings.parquet"))
+    assert {r.name for r in reference_queries.doc_guard(spark, str(tmp_path)).collect()} == {"untold", "bare"}
+
+
 def test_coverage_and_enclosing(spark):
     s = sym(spark, [{"id": "outer", "start_line": 1, "end_line": 200}, {"id": "inner", "start_line": 60, "end_line": 70}])
     lines = spark.createDataFrame([("src/a.ts", i, i % 2) for i in range(50, 80)], "file string, line int, hits int")
