@@ -34,3 +34,12 @@ def parts_for(spark, rows: int, most: int) -> int:
 def broadcast_below(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only if the counted ``rows`` are within ``limit``; else Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def too_few_splits(df: DataFrame) -> int | None:
+    """The session's parallelism where a table is read in fewer splits than that (a small table in one file), else None.
+
+    Work in Python on such a table is worth a shuffle; a table of many splits is not moved.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return want if df._jdf.queryExecution().toRdd().getNumPartitions() < want else None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.plans.lineage import broadcast_below, cut, too_few_splits
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a dataset folder; columns are pruned by the reader."""
@@ -40,3 +42,28 @@ def current_rows(df: DataFrame, key: str, cols: list[str], order: str = "seq") -
     picked = F.max(F.struct(F.col(order).alias("_o"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])).alias("_r")
     best = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(picked)
     return best.select(F.col("_k").alias(key), *[F.col(f"_r._{i}").alias(c) for i, c in enumerate(cols) if c != key])
+
+
+def current_wide(df: DataFrame, key: str, cols: list[str], order: str = "seq", broadcast_rows: int = 500_000) -> DataFrame:
+    """As ``current_rows``, for tables of wide columns (file contents): these are not shuffled.
+
+    Only (key, order) pairs are counted. Rows of a key that has several are compared with its
+    highest ``order``; the list of such keys is broadcast while it has at most
+    ``broadcast_rows`` rows, else joined by shuffle. Where rows tie for the highest order, the
+    rows of those keys alone go through ``current_rows``. Tables of fewer splits than the session
+    has cores are spread by key.
+    """
+    few = too_few_splits(df)
+    own = df.where(F.col(key).isNotNull()).select(key, *[c for c in dict.fromkeys([*cols, order]) if c != key])
+    each = own.groupBy(F.col(key).alias("_k"), F.col(order).alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    per_key = each.groupBy("_k").agg(F.max("_o").alias("_m"), F.max_by("_n", "_o").alias("_ties"), F.sum("_n").alias("_n"))
+    several = cut(per_key.where("_n > 1").select("_k", "_m", (F.col("_m").isNull() | (F.col("_ties") > 1)).alias("_tied")))
+    seen = several.agg(F.count(F.lit(1)).alias("n"), F.count_if("_tied").alias("tied")).first()
+    several = broadcast_below(several, seen["n"], broadcast_rows)
+    best = own.join(several, own[key] == several["_k"], "left").where(F.col("_k").isNull() | (~F.col("_tied") & (F.col(order) == F.col("_m")))).select(key, *[c for c in cols if c != key])
+    if few:
+        best = best.repartition(few, key)
+    if not seen["tied"]:
+        return best
+    tied = own.join(several.where("_tied").select(F.col("_k").alias(key)), key, "left_semi")
+    return best.unionByName(current_rows(tied, key, cols, order))
