@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.sources.tables import current_rows, norm_id
+from lodegraph.sources.tables import current_rows, current_wide, norm_id
 
 NOVEL_WORDS = 3
 
@@ -225,5 +225,5 @@ def documented_in_files(source_files: DataFrame) -> DataFrame:
 
     Null and empty contents, unknown extensions and undocumented functions give no rows.
     """
-    cur = current_rows(source_files, "path", ["content"])
+    cur = current_wide(source_files, "path", ["content"])
     return cur.select("path", "content").where("content <> ''").mapInPandas(_file_pairs, "file string, line int, name string, signature string, description string")

@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.plans.lineage import cut
-from lodegraph.sources.tables import current_rows, norm_path
+from lodegraph.sources.tables import current_rows, current_wide, norm_path
 
 BITS = 18
-SAMPLE_PER_LABEL = 4000
+SAMPLE_FILES = 16_000
 HEAD_LINES = 14
 EPOCHS = 12
+ROUNDS = 3
+SHARDS = 8
+SHARD_FILES = 1000
 FOLDS = 4
 PLACES = ("top", "foot", "between")
 
@@ -147,16 +150,17 @@ _SHAPE = {i: ("a" if chr(i).isalpha() or i == 95 else "0" if chr(i).isdigit() el
 class Svm:
     """Linear support-vector machine by averaged stochastic subgradients on unit-length rows."""
 
-    def __init__(self, bits: int = BITS):
-        self.w = np.zeros(1 << bits, np.float32)
-        self.b = 0.0
+    def __init__(self, w: np.ndarray | None = None, b: float = 0.0, bits: int = BITS):
+        self.w = np.zeros(1 << bits, np.float32) if w is None else w
+        self.b = b
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, lam: float = 2e-5, seed: int = 5) -> Svm:
-        rng = np.random.default_rng(seed)
-        w, b = np.zeros(len(self.w), np.float64), 0.0
-        total, tb, n, scale, t = np.zeros(len(self.w), np.float64), 0.0, 0, 1.0, 0
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, done: int = 0, epochs: int = EPOCHS, lam: float = 2e-5, seed: int = 5) -> Svm:
+        """Goes on from the present weights, after ``done`` steps; the result is the mean over the last half of the epochs."""
+        rng = np.random.default_rng([seed, done])
+        w, b = self.w.astype(np.float64), float(self.b)
+        total, tb, n, scale, t = np.zeros(len(w), np.float64), 0.0, 0, 1.0, done
         norm = [1 / max(1.0, len(r)) ** 0.5 for r in rows]
-        for epoch in range(EPOCHS):
+        for epoch in range(epochs):
             for i in rng.permutation(len(rows)):
                 t += 1
                 eta = 1 / (lam * (t + 5e4))
@@ -166,7 +170,7 @@ class Svm:
                 if m < 1:
                     w[r] += eta * weight[i] * y[i] * s / scale
                     b += 0.02 * eta * weight[i] * y[i]
-            if epoch >= EPOCHS // 2:
+            if epoch >= epochs // 2:
                 total += w * scale
                 tb += b
                 n += 1
@@ -202,32 +206,73 @@ def fold_of(repo: str | None) -> int:
     return zlib.crc32((repo or "").encode()) % FOLDS
 
 
-def train(sample: pd.DataFrame) -> list[tuple[Svm, Svm, float, float]]:
+def _target(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label, weight and fold of the sampled files."""
+    lead = (f["yes"] - f["no"]).to_numpy(np.float64)
+    return np.where(lead > 0, 1.0, -1.0), np.minimum(3.0, np.abs(lead)) / 3, np.array([fold_of(r) for r in f["repo"]], np.int64)
+
+
+def _fit_shard(state, whole: set[int], epochs: int, round_: int):
+    """One round of all models over one shard of the sample: weights, and the number of files behind them."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("path")
+        y, weight, fold = _target(f)
+        out = []
+        for col in ("body", "head"):
+            rows = [_parts(np.frombuffer(r, np.int32)) for r in f[col]]
+            flat = [p for r in rows for p in r]
+            of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            for k in range(FOLDS):
+                use = np.ones(len(of), bool) if k in whole else (fold != k)[of]
+                w, b = state.value[col, k]
+                m = Svm(w.copy(), b).fit([p for p, u in zip(flat, use) if u], y[of][use], weight[of][use], round_ * epochs * int(use.sum()), epochs)
+                out.append((col, k, m.w.tobytes(), m.b, int(use.sum())))
+        return pd.DataFrame(out, columns=["col", "fold", "w", "b", "n"])
+
+    return run
+
+
+def _held_out(state):
+    """Margins of the sampled files by the models of their own fold."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {k: Svm(*v) for k, v in state.value.items()}
+        for f in frames:
+            if len(f):
+                y, weight, fold = _target(f)
+                yield pd.DataFrame({"path": f["path"], "y": y, "weight": weight} | {c: [max(map(models[c, k].margin, _parts(np.frombuffer(r, np.int32)))) for r, k in zip(f[c], fold)] for c in ("body", "head")})
+
+    return run
+
+
+def train(sample: DataFrame) -> list[tuple[Svm, Svm, float, float]] | None:
     """Per fold of repositories, body and head classifiers fitted on the other folds, and the cuts.
 
-    The cuts come from the margins of files whose repository took no part in fitting, over all
-    folds together. With a single fold there is nothing to hold out, and all files fit all models.
+    The sample stays in shards on the executors. In each round every shard goes on from the
+    common weights with its own files, and the weights are averaged (iterative parameter
+    mixing); only these, two vectors a fold and shard, come to the driver. The cuts come from
+    the margins of files whose repository took no part in fitting, over all folds together; as
+    the sample has the labels at their natural ratio, they hold for all files. With a single
+    fold there is nothing to hold out, and all files fit all models. None without both labels.
     """
-    y = np.where(sample["yes"] > sample["no"], 1.0, -1.0)
-    weight = np.minimum(3.0, np.abs(sample["yes"] - sample["no"])).to_numpy(np.float64) / 3
-    fold = np.array([fold_of(r) for r in sample["repo"]])
-    models: dict[str, list[Svm]] = {}
-    cuts = {}
-    for col in ("body", "head"):
-        rows = [_parts(np.frombuffer(r, np.int32)) for r in sample[col]]  # bytes: a list of numbers each would fill the driver
-        flat = [p for r in rows for p in r]
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        models[col], margin = [], np.zeros(len(rows))
-        for k in range(FOLDS):
-            fit = fold != k
-            if not (y[fit] > 0).any() or not (y[fit] < 0).any():
-                fit = np.ones(len(y), bool)
-            use = fit[of]
-            m = Svm().fit([p for p, u in zip(flat, use) if u], y[of][use], weight[of][use])
-            models[col].append(m)
-            margin[fold == k] = [max(map(m.margin, rows[i])) for i in np.flatnonzero(fold == k)]
-        cuts[col] = _threshold(margin, y, weight)
-    return [(b, h, cuts["body"], cuts["head"]) for b, h in zip(models["body"], models["head"])]
+    sc = sample.sparkSession.sparkContext
+    sides = pd.DataFrame([(fold_of(r["repo"]), r["yes"], r["n"]) for r in sample.groupBy("repo", (F.col("yes") > F.col("no")).alias("yes")).agg(F.count(F.lit(1)).alias("n")).collect()], columns=["fold", "yes", "n"])  # two rows a repository of the bounded sample
+    if sides["yes"].nunique() < 2:
+        return None
+    whole = {k for k in range(FOLDS) if sides[sides["fold"] != k]["yes"].nunique() < 2}
+    shards = max(1, min(SHARDS, int(sides["n"].sum()) // SHARD_FILES))
+    placed = cut(sample.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "path"), F.lit(shards))).repartition(shards, "shard"))
+    state = {(c, k): (np.zeros(1 << BITS, np.float32), 0.0) for c in ("body", "head") for k in range(FOLDS)}
+    for r in range(ROUNDS):
+        sent = sc.broadcast(state)
+        got = placed.groupBy("shard").applyInPandas(_fit_shard(sent, whole, EPOCHS // ROUNDS, r), "col string, fold int, w binary, b double, n long").toPandas()
+        for key, g in got[got["n"] > 0].sort_values("n").groupby(["col", "fold"]):
+            n = g["n"].to_numpy(np.float64) / g["n"].sum()
+            state[key] = (sum(np.frombuffer(w, np.float32) * np.float32(x) for w, x in zip(g["w"], n)), float((g["b"] * n).sum()))
+    held = placed.mapInPandas(_held_out(sc.broadcast(state)), "path string, y double, weight double, body double, head double").toPandas().sort_values("path")  # four numbers a sampled file
+    cuts = {c: _threshold(held[c].to_numpy(), held["y"].to_numpy(), held["weight"].to_numpy()) for c in ("body", "head")}
+    return [(Svm(*state["body", k]), Svm(*state["head", k]), cuts["body"], cuts["head"]) for k in range(FOLDS)]
 
 
 def _judge(model):
@@ -253,25 +298,21 @@ def file_labels(symbols: DataFrame) -> DataFrame:
     return cur.where("generated is not null").groupBy(norm_path("file").alias("path")).agg(F.count_if("generated").alias("yes"), F.count_if(~F.col("generated")).alias("no"))
 
 
-def judged(source_files: DataFrame, symbols: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+def judged(source_files: DataFrame, symbols: DataFrame, sample_files: int = SAMPLE_FILES) -> DataFrame:
     """(path, repo-independent margins ``body`` and ``head``): above 0 speaks against hand-written source.
 
-    The current content of every file is judged. At most ``per_label`` files of either label, by
-    smallest hash of their path, are used to fit. Null or blank contents are hand-written; null
-    paths are left out; without labels of both kinds no file stands out.
+    The current content of every file is judged. At most ``sample_files`` labelled files, those
+    of smallest hash of their path whatever their label, are used to fit. Null or blank contents
+    are hand-written; null paths are left out; without labels of both kinds no file stands out.
     """
-    cur = current_rows(source_files, "path", ["repo", "content"])
-    # the sample is drawn from paths alone; only its own files are read again for their features
-    there = current_rows(source_files.select("path", "seq", (F.col("content") != "").alias("filled")), "path", ["filled"]).where("filled").select("path")
-    known = there.join(file_labels(symbols).where("yes <> no"), "path")
-    by_hash = [F.xxhash64("path"), F.col("path")]
-    picks = known.where("yes > no").orderBy(*by_hash).limit(per_label).unionByName(known.where("yes < no").orderBy(*by_hash).limit(per_label))
-    chosen = F.broadcast(cut(picks))  # at most 2 * per_label short rows
-    few = current_rows(source_files.join(chosen.select("path"), "path", "left_semi"), "path", ["repo", "content"])
-    sample = few.join(chosen, "path").select("path", "repo", "content", "yes", "no").mapInPandas(_extract, "path string, repo string, yes long, no long, body binary, head binary").toPandas()
-    if sample.empty or not (sample["yes"] > sample["no"]).any() or not (sample["yes"] < sample["no"]).any():
+    cur = current_wide(source_files, "path", ["repo", "content"])
+    known = file_labels(symbols).where("yes <> no").join(source_files.select("path"), "path", "left_semi")
+    picks = F.broadcast(cut(known.orderBy(F.xxhash64("path"), "path").limit(sample_files)))  # at most sample_files short rows
+    sample = cur.join(picks, "path").where("content <> ''").select("path", "repo", "content", "yes", "no").mapInPandas(_extract, "path string, repo string, yes long, no long, body binary, head binary")
+    fitted = train(cut(sample))
+    if fitted is None:
         return cur.select("path", F.lit(-1.0).alias("body"), F.lit(-1.0).alias("head"))
-    model = source_files.sparkSession.sparkContext.broadcast(train(sample.sort_values("path")))
+    model = source_files.sparkSession.sparkContext.broadcast(fitted)
     return cur.select("path", "repo", "content").mapInPandas(_judge(model), "path string, body double, head double")
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.sources.tables import current_rows, norm_path
+from lodegraph.sources.tables import current_wide, norm_path
 
 FOLDER = Path(__file__).parent / "grammars"
 LANGUAGES = {"ts": "ts", "js": "js", "mjs": "js", "php": "php", "py": "py", "go": "go"}
@@ -639,7 +639,7 @@ def checked_files(source_files: DataFrame) -> DataFrame:
     counts as an empty file, which every language accepts. Null paths are left out. Text
     outside ``<?php`` is valid PHP.
     """
-    cur = current_rows(source_files, "path", ["repo", "content"])
+    cur = current_wide(source_files, "path", ["repo", "content"])
     return cur.select("path", "repo", "content").mapInPandas(_check, "path string, repo string, language string, valid boolean, error_line int")
 
 

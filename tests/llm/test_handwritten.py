@@ -20,13 +20,13 @@ def data(r, own):
     return f"export const T{own} = [\n" + "".join("  " + ", ".join(hex(r.randrange(256)) for _ in range(12)) + ",\n" for _ in range(25)) + "];\n"
 
 
-def world(seed=1, repos=8, n=40):
+def world(seed=1, repos=8, n=40, every=4):
     r = random.Random(seed)
     files, symbols, want = [], [], set()
     for k in range(repos):
         own = "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3))
         for i in range(n):
-            made = i % 4 == 0
+            made = i % every == 0
             path = f"{own}-core/src/{'gen' if made and i % 8 else 'core'}/f{i}.ts"
             files.append((path, f"{own}-core", (r.choice([machine, data]) if made else hand)(r, own), 1, 7))
             want |= {path} if made else set()
@@ -41,6 +41,13 @@ def test_held_out_accuracy(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
+def test_bounded_sample_keeps_the_ratio_of_labels(spark):
+    """One file of ten is no hand's work and the sample is smaller than the world: the cut must not drift."""
+    files, symbols, want = world(seed=3, repos=10, n=100, every=10)
+    got = {x.path for x in H.judged(spark.createDataFrame(files, FILE), spark.createDataFrame(symbols, SYM), sample_files=400).where("body > 0 or head > 0").collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
 def test_dirty_rows(spark):
     files, symbols, _ = world(repos=3, n=16)
     odd = [("q/a.ts", None, None, 1, 1), ("q/b.ts", None, "", 1, 1), ("q/c.ts", "q", "// nothing yet\n", 1, 1), (None, "q", "x", 1, 1), ("q/d", "q", "x" * 2_000_000, 1, 1), ("q/e.ts", "q", "old", 1, 1), ("q/e.ts", "q", "", 2, 1)]
