@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.plans.lineage import cut
+from lodegraph.plans.lineage import cut, too_few_splits
 
+# where the driver finds the vocabulary; the executors get its content
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public byte-level BPE vocabulary splits text before merging
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -24,19 +25,18 @@ RANGE_ROWS = 50_000
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(vocabulary: str):
+def _count(vocabulary):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(vocabulary)
+        enc = _encoding(vocabulary.value)
         for f in frames:
             if not len(f):
                 continue
@@ -56,7 +56,11 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY, seed: int = 11) ->
     """(doc_id, source, key, tokens): key is uniform in [0, 2**40)."""
     key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40))
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), norm_source("source").alias("source"), key.alias("key"), "text").where("doc_id is not null")
-    return own.mapInPandas(_count(vocabulary), "doc_id long, source string, key long, tokens long")
+    with open(vocabulary, "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: about a megabyte
+    if few := too_few_splits(documents):
+        own = own.repartition(few, "doc_id")
+    return own.mapInPandas(_count(sent), "doc_id long, source string, key long, tokens long")
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, seed: int = 11, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -66,9 +70,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     source that has documents reaches its share within its ``max_repeats`` (shares of sources
     without documents are spread over the others in proportion). With a larger total, a source
     stops at its cap and the report shows the shortfall. A source repeats whole epochs first;
-    the last, partial epoch ends at the row nearest to the exact budget. Sources without a
-    target, null sources and null ids are not chosen; texts without tokens count as chosen
-    with their range. Repeated targets of a source: the largest share holds. Empty tables give
+    the last, partial epoch ends at the row nearest to the exact budget; no row ever exceeds
+    ``max_repeats``. Sources without a
+    target or tokens, null sources and null ids are not chosen; texts without tokens count as
+    chosen with their range, in a partial epoch too. Repeated targets of a source: the largest share holds. Empty tables give
     an empty mixture.
     """
     rows = cut(sized(documents, vocabulary, seed))
@@ -88,14 +93,14 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     plan = plan.withColumn("epochs", F.when(F.col("have") > 0, F.floor(F.col("budget") / F.greatest(F.col("have"), F.lit(1)))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("before", before).join(plan.select("source", "epochs", "rest"), "source")
-    starts = starts.withColumn("state", F.when(F.col("before") + F.col("t") <= F.col("rest"), F.lit("in")).when(F.col("before") >= F.col("rest"), F.lit("out")).otherwise(F.lit("edge")))
+    starts = sums.withColumn("before", before).join(F.broadcast(plan.select("source", "epochs", "rest", "cap")), "source")  # a row per target source
+    starts = starts.withColumn("state", F.when((F.col("rest") <= 0) | (F.col("before") >= F.col("rest")), F.lit("out")).when(F.col("before") + F.col("t") <= F.col("rest"), F.lit("in")).otherwise(F.lit("edge")))
     placed = rows.withColumn("cell", cell).join(starts.drop("t"), ["source", "cell"])
     edge = placed.where("state = 'edge'")  # one range per source
     so_far = F.sum("tokens").over(Window.partitionBy("source", "cell").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("last", (F.col("before") + so_far - F.col("tokens") / 2) <= F.col("rest"))
     whole = placed.where("state <> 'edge'").withColumn("last", F.col("state") == "in")
-    repeats = (F.col("epochs") + F.col("last").cast("int")).cast("int")
+    repeats = F.least(F.col("epochs") + F.col("last").cast("int"), F.col("cap")).cast("int")
     chosen = whole.unionByName(edge).select("doc_id", "source", "tokens", repeats.alias("repeats")).where("repeats > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats"))
     zero = F.lit(0).cast("long")

@@ -36,3 +36,10 @@ def test_dirty_rows(spark):
 
 def test_empty(spark):
     assert run(spark, [], [("s", 1.0, 1)])[0] == [] and run(spark, [(1, "a", "s")], [])[0] == []
+
+
+def test_no_row_exceeds_its_cap(spark):
+    """The budget is exactly the cap, and the first ranges hold no tokens at all."""
+    docs = [(i, "", "s") for i in range(20)] + [(100 + i, "a b c d", "s") for i in range(5)]
+    rows, rep = run(spark, docs, [("s", 1.0, 2)], range_rows=1)
+    assert {r.repeats for r in rows} == {2} and len(rows) == 25 and rep["s"].most_repeats == 2
