@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.plans.lineage import too_few_splits
+
 WINDOW = 12
 STRETCH = 2048
-ITEMS_PER_BLOCK = 20_000
+CHARS_PER_BLOCK = 4_000_000
 TABLE_BITS = 20
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -57,17 +59,19 @@ class Patterns:
                 at = [self.ids.setdefault(w, len(self.ids) + 1) for w in seq]
                 for i in range(len(at) - WINDOW + 1):
                     rows.setdefault(tuple(at[i : i + WINDOW]), set()).add(item)
-        self.passages = np.array(list(rows), dtype=np.int64).reshape(-1, WINDOW)
+        self.passages = np.array(list(rows), dtype=np.int32).reshape(-1, WINDOW)
         self.v = len(self.ids) + 1
-        suffix = self.passages[:, -2] * self.v + self.passages[:, -1]
-        order = np.argsort(suffix, kind="stable")
-        self.passages, self.suffix = self.passages[order], suffix[order]
+        bucket = self.slot(self.passages[:, -2].astype(np.int64) * self.v + self.passages[:, -1])
+        order = np.argsort(bucket, kind="stable")
+        self.passages = self.passages[order]
+        # passages of suffix bucket b: starts[b] up to starts[b + 1]
+        self.starts = np.r_[0, np.cumsum(np.bincount(bucket, minlength=1 << TABLE_BITS))].astype(np.int32)
         items_of = [sorted(x) for x in rows.values()]
         self.items = [items_of[i] for i in order]
-        self.shift = np.full(1 << TABLE_BITS, WINDOW - 1, dtype=np.int64)
+        self.shift = np.full(1 << TABLE_BITS, WINDOW - 1, dtype=np.int8)
         for end in range(1, WINDOW):  # blocks nearer the end overwrite larger shifts
-            block = self.passages[:, end - 1] * self.v + self.passages[:, end]
-            np.minimum.at(self.shift, self.slot(block), WINDOW - 1 - end)
+            block = self.passages[:, end - 1].astype(np.int64) * self.v + self.passages[:, end]
+            np.minimum.at(self.shift, self.slot(block), np.int8(WINDOW - 1 - end))
 
     @staticmethod
     def slot(block: np.ndarray) -> np.ndarray:
@@ -81,11 +85,12 @@ class Patterns:
         hits_s, hits_p = [], []
         while len(which):
             block = ids[pos - 1] * self.v + ids[pos]
-            jump = self.shift[self.slot(block)]
+            slot = self.slot(block)
+            jump = self.shift[slot]
             at = np.flatnonzero(jump == 0)
             if len(at):
-                lo = np.searchsorted(self.suffix, block[at], "left")
-                n = np.searchsorted(self.suffix, block[at], "right") - lo
+                lo = self.starts[slot[at]].astype(np.int64)
+                n = self.starts[slot[at] + 1] - lo
                 if n.any():
                     cand = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                     ends = np.repeat(pos[at], n)
@@ -121,28 +126,30 @@ def _scan(patterns, id_col: str, text_col: str):
             s, at = p.search(np.concatenate(parts), np.array(first), np.array(end))
             out = [(owner[i], item, int(j)) for i, j in zip(s, at) for item in p.items[j]]
             if out:
-                g = pd.DataFrame(out, columns=["doc_id", "item_id", "passage"]).drop_duplicates()
-                yield g.groupby(["doc_id", "item_id"], as_index=False).size().rename(columns={"size": "passages"})
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "passage"]).drop_duplicates()
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", chars_per_block: int = CHARS_PER_BLOCK) -> DataFrame:
     """(doc_id, item_id, passages): how many distinct 12-word passages of the item the document holds.
 
-    Whole texts are searched for all items, in blocks of at most ``items_per_block`` items, the
-    most that a search table sent to the executors may hold. Null or empty texts, texts and items
+    Whole texts are searched for all items, in blocks of about ``chars_per_block`` characters of
+    items, the most that a search table sent to the executors may hold. Null or empty texts, texts and items
     under twelve words and empty tables give no rows; null ids too. Rows that repeat an id are
     taken together. Other columns are ignored, whatever their names.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     own = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-own.count() // items_per_block))
+    blocks = max(1, -(-(own.agg(F.sum(F.length("text"))).first()[0] or 0) // chars_per_block))
+    if few := too_few_splits(documents):
+        docs = docs.repartition(few, "doc_id")
     out = None
     for b in range(blocks):
         rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # a block of the evaluation set, never of the corpus
         tables = spark.sparkContext.broadcast(Patterns([(r.item_id, r.text) for r in rows]))
-        part = docs.mapInPandas(_scan(tables, "doc_id", "text"), "doc_id long, item_id long, passages long")
+        part = docs.mapInPandas(_scan(tables, "doc_id", "text"), "doc_id long, item_id long, passage int")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max("passages").alias("passages"))
+    # an item lies in one block, so its passages have one number each
+    return out.distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("passages"))

@@ -24,7 +24,7 @@ def test_random_texts_against_all_windows(spark):
             grams.setdefault(tuple(w[j : j + 12]), set()).add(i)
     want = {(d, i) for d, t in docs for j in range(len(t.split()) - 11) for i in grams.get(tuple(t.split()[j : j + 12]), ())}
     assert want and run(spark, docs, items) == want
-    assert run(spark, docs, items, items_per_block=5) == want
+    assert run(spark, docs, items, chars_per_block=150) == want
 
 
 def test_disguises(spark):
@@ -42,3 +42,12 @@ def test_ties_repeats_and_empties(spark):
     assert run(spark, [(1, t), (1, t), (None, t)], [(1, t), (2, t), (None, t), (3, " ".join(W[:11])), (4, ""), (5, None)]) == {(1, 1), (1, 2)}
     assert run(spark, [], [(1, t)]) == set() and run(spark, [(1, t)], []) == set()
     assert run(spark, [(1, "filler " * 300_000 + t)], [(1, t)]) == {(1, 1)}
+
+
+def test_passages_do_not_depend_on_the_partitions(spark):
+    """Rows of one id are united, wherever they lie."""
+    rows = [(1, " ".join(W[:14]), "x"), (1, " ".join(W[2:16]), "x")]
+    items = spark.createDataFrame([(7, " ".join(W), "x")], ITEM)
+    for parts in (1, 2):
+        got = L.leaked_items(spark.createDataFrame(rows, DOC).repartition(parts), items).collect()
+        assert [(r.doc_id, r.item_id, r.passages) for r in got] == [(1, 7, 5)]
