@@ -215,7 +215,7 @@ def _target(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _fit_shard(state, whole: set[int], epochs: int, round_: int):
     """One round of all models over one shard of the sample: weights, and the number of files behind them."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("path")
         y, weight, fold = _target(f)
         out = []
@@ -227,9 +227,15 @@ def _fit_shard(state, whole: set[int], epochs: int, round_: int):
                 use = np.ones(len(of), bool) if k in whole else (fold != k)[of]
                 w, b = state.value[col, k]
                 m = Svm(w.copy(), b).fit([p for p, u in zip(flat, use) if u], y[of][use], weight[of][use], round_ * epochs * int(use.sum()), epochs)
-                out.append((col, k, m.w.tobytes(), m.b, int(use.sum())))
+                out.append((col, k, m.w.astype(np.float16).tobytes(), m.b, int(use.sum())))
         return pd.DataFrame(out, columns=["col", "fold", "w", "b", "n"])
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:  # the shards of a partition, of SHARD_FILES files or an eighth of the sample each
+            for _, f in pd.concat(held, ignore_index=True).groupby("shard"):
+                yield fit(f)
+
     return run
 
 
@@ -266,10 +272,12 @@ def train(sample: DataFrame) -> list[tuple[Svm, Svm, float, float]] | None:
     state = {(c, k): (np.zeros(1 << BITS, np.float32), 0.0) for c in ("body", "head") for k in range(FOLDS)}
     for r in range(ROUNDS):
         sent = sc.broadcast(state)
-        got = placed.groupBy("shard").applyInPandas(_fit_shard(sent, whole, EPOCHS // ROUNDS, r), "col string, fold int, w binary, b double, n long").toPandas()
-        for key, g in got[got["n"] > 0].sort_values("n").groupby(["col", "fold"]):
+        got = placed.mapInPandas(_fit_shard(sent, whole, EPOCHS // ROUNDS, r), "col string, fold int, w binary, b double, n long").toPandas()
+        for key, g in got[got["n"] > 0].sort_values(["n", "b"]).groupby(["col", "fold"]):
             n = g["n"].to_numpy(np.float64) / g["n"].sum()
-            state[key] = (sum(np.frombuffer(w, np.float32) * np.float32(x) for w, x in zip(g["w"], n)), float((g["b"] * n).sum()))
+            state[key] = (sum(np.frombuffer(w, np.float16) * np.float32(x) for w, x in zip(g["w"], n)), float((g["b"] * n).sum()))
+        del got
+        sent.destroy()
     held = placed.mapInPandas(_held_out(sc.broadcast(state)), "path string, y double, weight double, body double, head double").toPandas().sort_values("path")  # four numbers a sampled file
     cuts = {c: _threshold(held[c].to_numpy(), held["y"].to_numpy(), held["weight"].to_numpy()) for c in ("body", "head")}
     return [(Svm(*state["body", k]), Svm(*state["head", k]), cuts["body"], cuts["head"]) for k in range(FOLDS)]
