@@ -17,8 +17,9 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(id, depth) of nodes reached along ``src`` to ``dst`` edges, roots left out, at least depth.
 
     Frontier by frontier: only new nodes are expanded, so cycles end and no path is counted
-    twice. Lineage is cut each round.
+    twice. Lineage is cut each round; the edges are prepared once.
     """
+    edges = cut(edges)
     seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for depth in range(1, max_depth + 1):

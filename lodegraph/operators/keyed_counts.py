@@ -50,12 +50,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _count_split(keys: list[str], member: str):
+def _count_split(keys: list[str]):
+    """Groups of a split with their number of rows ``n``, which earlier counts of that name add up to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches):
-            code, first = _codes([t[c] for c in [*keys, member]])
-            out = t.select([*keys, member]).take(pa.array(first))
-            yield from out.append_column("n", pa.array(np.bincount(code, minlength=len(first)).astype(np.int64))).to_batches()
+            code, first = _codes([t[c] for c in keys])
+            weights = t["n"].to_numpy().astype(np.float64) if "n" in t.column_names else None
+            out = t.select(keys).take(pa.array(first))
+            yield from out.append_column("n", pa.array(np.bincount(code, weights=weights, minlength=len(first)).astype(np.int64))).to_batches()
 
     return run
 
@@ -74,45 +77,44 @@ def _count_members(keys: list[str], member: str):
     return run
 
 
-def _sum_block(keys: list[str]):
+def _sum_block(keys: list[str], measures: list[str]):
+    """Sums the partial arrays of a key block: chunk by chunk the keys are encoded together with those already held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots: dict = {}
-        acc = np.zeros((2, 1024), dtype=np.int64)
-        schema = None
-        for b in batches:
-            schema = b.schema
-            names = list(zip(*[b.column(c).to_pylist() for c in keys]))
-            at = np.fromiter((slots.setdefault(x, len(slots)) for x in names), dtype=np.int64, count=len(names))
-            while len(slots) > acc.shape[1]:
-                acc = np.concatenate([acc, np.zeros_like(acc)], axis=1)
-            np.add.at(acc[0], at, b.column("n").to_numpy())
-            np.add.at(acc[1], at, b.column("members").to_numpy())
-        if slots:
-            cols = list(zip(*slots))
-            for i in range(0, len(slots), 50_000):
-                arrays = [pa.array(c[i : i + 50_000], schema.field(k).type) for k, c in zip(keys, cols)]
-                m = len(arrays[0])
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(acc[0, i : i + m]), pa.array(acc[1, i : i + m])], [*keys, "n", "members"])
+        held: pa.Table | None = None
+        for t in _chunks(batches):
+            t = t if held is None else pa.concat_tables([held, t])
+            code, first = _codes([t[c] for c in keys])
+            held = t.select(keys).take(pa.array(first))
+            for m in measures:
+                acc = np.zeros(len(first), np.int64)
+                np.add.at(acc, code, t[m].to_numpy())
+                held = held.append_column(m, pa.array(acc))
+        if held is not None:
+            yield from held.to_batches(max_chunksize=50_000)
 
     return run
 
 
-def keyed_counts(df: DataFrame, keys: list[str], member: str, rows: int = 0) -> DataFrame:
-    """Rows ``n`` and distinct non-null ``members`` per key, evenly spread over the tasks.
+def keyed_counts(df: DataFrame, keys: list[str], member: str | None = None, rows: int = 0) -> DataFrame:
+    """Rows ``n`` and, with ``member``, its distinct non-null values ``members`` per key, evenly spread over the tasks.
 
     Keys must be strings; a null key value forms a group of its own, as in SQL. Repeated rows
     count in ``n`` and once in ``members``. ``rows``, the size of the table if known, sets the
     number of key blocks. An empty table gives no rows. Columns other than
-    ``keys`` and ``member`` are ignored, whatever their names.
+    ``keys`` and ``member`` are ignored, whatever their names. Without ``member`` nothing but
+    the counts per key and split is shuffled.
     """
-    cols = [*keys, member]
+    cols = [*keys, *([member] if member else [])]
     kinds = ", ".join(f"`{c}` string" for c in keys)
     own = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    split = own.mapInArrow(_count_split(keys, member), f"{kinds}, `{member}` string, n long")
+    split = own.mapInArrow(_count_split(cols), ", ".join(f"`{c}` string" for c in cols) + ", n long")
+    parts, where = parts_for(df.sparkSession, rows, BLOCK_ROWS), F.xxhash64(*keys)
+    if member is None:
+        return split.repartition(parts, where).mapInArrow(_sum_block(keys, ["n"]), f"{kinds}, n long")
     pairs = split.groupBy(*cols).agg(F.sum("n").alias("n"))
     partial = pairs.mapInArrow(_count_members(keys, member), f"{kinds}, n long, members long")
-    blocks = partial.repartition(parts_for(df.sparkSession, rows, BLOCK_ROWS), F.xxhash64(*keys))
-    return blocks.mapInArrow(_sum_block(keys), f"{kinds}, n long, members long")
+    return partial.repartition(parts, where).mapInArrow(_sum_block(keys, ["n", "members"]), f"{kinds}, n long, members long")
 
 
 def heavy_keys(counts: DataFrame, total: int, percent: int = 1) -> DataFrame:

@@ -32,19 +32,21 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(_tree(spark, d))
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    rel = table(spark, d, "relationships").select(norm_id("target_id").alias("target_id"), norm_id("type").alias("type"), norm_id("source_id").alias("source_id"))
-    return K.keyed_counts(rel, ["target_id", "type"], "source_id", rel.count())
+def _counts(spark: SparkSession, d: str, member: str | None) -> tuple[DataFrame, int]:
+    rel = table(spark, d, "relationships")
+    total = rel.count()  # from the footers of the files
+    ids = rel.select(norm_id("target_id").alias("target_id"), norm_id("type").alias("type"), norm_id("source_id").alias("source_id"))
+    return K.keyed_counts(ids, ["target_id", "type"], member, total), total
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    total = table(spark, d, "relationships").count()
-    return K.heavy_keys(_counts(spark, d), total).select("target_id", "type")
+    counts, total = _counts(spark, d, None)
+    return K.heavy_keys(counts, total).select("target_id", "type")
 
 
 def p4_key_counts(spark: SparkSession, d: str) -> DataFrame:
-    total = table(spark, d, "relationships").count()
-    return _counts(spark, d).select("target_id", "type", F.col("n").alias("n_rows"), F.col("members").alias("n_sources"), (F.col("n") * 100 >= F.lit(total)).alias("heavy"))
+    counts, total = _counts(spark, d, "source_id")
+    return counts.select("target_id", "type", F.col("n").alias("n_rows"), F.col("members").alias("n_sources"), (F.col("n") * 100 >= F.lit(total)).alias("heavy"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

@@ -27,17 +27,17 @@ def forest(seed, n):
     return {f"n{i:03d}": None if r.random() < 0.1 else "gone" if r.random() < 0.05 else f"n{r.randrange(n) if r.random() < 0.12 else max(0, i - 1 - r.randrange(3)):03d}" for i in range(n)}
 
 
-@pytest.mark.parametrize("seed, limit", [(1, 10**6), (2, 10**6), (2, 0)])
-def test_random_forests(spark, seed, limit):
-    """Both ways of merging partitions agree with a walk over every node."""
+@pytest.mark.parametrize("seed, limit, fan", [(1, 10**6, 8), (2, 0, 8), (2, 4, 2), (5, 1, 2), (7, 12, 2)])
+def test_random_forests(spark, seed, limit, fan):
+    """In one task, in levels or by pointer doubling, merged partitions agree with a walk over every node."""
     par = forest(seed, 60)
     tree, ring = brute(par)
     links = spark.createDataFrame([(k, v, "f") for k, v in par.items()], LINKS)
-    got = {x.id: x for x in H.hierarchy(links, None, limit, 5).collect()}
+    got = {x.id: x for x in H.hierarchy(links, None, limit, 5, fan).collect()}
     assert {k: (v.root, v.depth, v.path) for k, v in got.items()} == tree
     assert {k: v.cycle_id for k, v in got.items() if v.on_cycle} == ring
-    assert {x.symbol_id: x.cycle_id for x in H.find_cycles(links, None, limit, 5).collect()} == ring
-    pairs = {(x.ancestor, x.descendant, x.distance) for x in H.descendants(H.hierarchy(links, None, limit, 5)).collect()}
+    assert {x.symbol_id: x.cycle_id for x in H.find_cycles(links, None, limit, 5, fan).collect()} == ring
+    pairs = {(x.ancestor, x.descendant, x.distance) for x in H.descendants(H.hierarchy(links, None, limit, 5, fan)).collect()}
     assert pairs == {(a, k, d - i) for k, (_, d, p) in tree.items() if p for i, a in enumerate(p[:-1])}
 
 

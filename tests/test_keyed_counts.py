@@ -16,6 +16,7 @@ def test_against_counter(spark):
         if s is not None:
             members[t, y].add(s)
     assert got == {k: (v, len(members[k])) for k, v in n.items()}
+    assert {(r.t, r.y): r.n for r in keyed_counts(df, ["t", "y"]).collect()} == dict(n)
 
 
 def test_heavy_keys_at_the_bound(spark):
