@@ -171,3 +171,24 @@ def first_match(file: Column | str, rules: list[tuple[str, str]], default: str |
         hit = glob(file, pattern)
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
+
+
+def to_fixed(x: Column | str) -> Column:
+    """One decimal of a double's exact value; exact ties go up (``format_number`` takes them to even)."""
+    v = _c(x).cast("double")
+    tie = F.pmod(v * 4, F.lit(2.0)) == 1.0  # .25 and .75 are the only exact halves of a tenth
+    return F.call_function("format_number", F.when(tie, (F.floor(v * 10) + 1) / 10).otherwise(v), F.lit("0.0"))
+
+
+def legacy_hash(text: Column | str) -> Column:
+    """31-hash of the characters in 32 bits with sign, in base 36 (characters of the basic plane)."""
+    codes = F.transform(F.filter(F.split(_c(text), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    wrap = F.lit(1 << 32)
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: F.pmod(a * 31 + c, wrap))
+    signed = F.when(h >= (1 << 31), h - wrap).otherwise(h)
+    return F.concat(F.when(signed < 0, F.lit("-")).otherwise(F.lit("")), F.lower(F.conv(F.abs(signed).cast("string"), 10, 36)))
+
+
+def iso_date(ts: Column | str) -> Column:
+    """UTC day of a timestamp as ``YYYY-MM-DD``, whatever the session's time zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(_c(ts)) / F.lit(86_400_000_000)).cast("int")), "yyyy-MM-dd")

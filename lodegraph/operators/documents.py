@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
+import re
+import shlex
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -67,30 +69,63 @@ def with_doc_ref(symbols: DataFrame, mappings: DataFrame) -> DataFrame:
     return symbols.join(m, "name", "left").select("id", F.coalesce("d", "doc_ref").alias("doc_ref"))
 
 
-def _valid(language: str, code: str) -> str:
+def _xml(code: str) -> None:
+    from xml.parsers.expat import ExpatError, ParserCreate
+
+    try:
+        ParserCreate().Parse(code, True)  # no external entities are read
+    except ExpatError as e:
+        raise ValueError(str(e)) from None
+
+
+def _shell(code: str) -> None:
+    shlex.split(code, comments=True)
+
+
+def _closed(code: str) -> None:
+    """Brackets outside strings and comments are closed in order."""
+    open_: list[str] = []
+    for c in re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?\*/|(?<!\w)#[^\n]*", "", code, flags=re.S):
+        if c in "([{":
+            open_.append(c)
+        elif c in ")]}" and (not open_ or open_.pop() + c not in ("()", "[]", "{}")):
+            raise ValueError(f"unexpected {c}")
+    if open_:
+        raise ValueError(f"unclosed {open_[-1]}")
+
+
+# language of a fence: a function that raises SyntaxError or ValueError, or returns a text, if the code is invalid
+VALIDATORS: dict[str, Callable[[str], object]] = (
+    dict.fromkeys(("python", "py", "python3"), ast.parse) | {"json": json.loads} | dict.fromkeys(("xml", "svg"), _xml) | dict.fromkeys(("bash", "sh", "shell", "zsh"), _shell)
+    | dict.fromkeys(("typescript", "ts", "tsx", "javascript", "js", "jsx", "php", "go", "java", "c", "cpp", "csharp", "cs", "rust", "css", "scss"), _closed)
+)
+
+
+def _valid(validators: dict, language: str, code: str) -> str:
     if not code.strip():
         return "empty block"
     try:
-        if language in ("python", "py", "python3"):
-            ast.parse(code)
-        elif language == "json":
-            json.loads(code)
+        said = validators[language](code) if language in validators else None
     except (SyntaxError, ValueError) as e:
         return str(e)
-    return ""
+    return said if isinstance(said, str) else ""
 
 
-def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        if not len(f):
-            continue
-        errors = [_valid((a or "").lower(), c or "") for a, c in zip(f["language"], f["code"])]
-        yield f[["doc", "start_line"]].assign(valid=[not e for e in errors], error=errors)
+def checked_examples(blocks: DataFrame, validators: dict[str, Callable[[str], object]] | None = None) -> DataFrame:
+    """(doc, start_line, valid, error) of code blocks, each by the validator of its language.
 
+    ``validators`` adds or replaces some. Empty blocks are invalid; others of languages without
+    a validator, or without a language, are valid.
+    """
+    table = {**VALIDATORS, **(validators or {})}
 
-def checked_examples(blocks: DataFrame) -> DataFrame:
-    """(doc, start_line, valid, error): parsed where the language can be, else valid unless empty."""
-    return blocks.mapInPandas(_check, f"doc {dict(blocks.dtypes)['doc']}, start_line int, valid boolean, error string")
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                errors = [_valid(table, (a or "").lower(), c or "") for a, c in zip(f["language"], f["code"])]
+                yield f[["doc", "start_line"]].assign(valid=[not e for e in errors], error=errors)
+
+    return blocks.mapInPandas(check, f"doc {dict(blocks.dtypes)['doc']}, start_line int, valid boolean, error string")
 
 
 def merged(stored: DataFrame, configured: DataFrame) -> DataFrame:
@@ -123,3 +158,9 @@ def page_lines(symbols: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- `"), "kind", F.lit("` **"), "name", F.lit("** (L"), "start_line", F.lit("-"), "end_line", F.lit(")"), F.when(F.col("summary") != "", F.concat(F.lit(": "), "summary")).otherwise(F.lit("")))
     head = symbols.select("file").distinct().select("file", F.lit(0).alias("start_line"), F.lit("").alias("id"), F.concat(F.lit("# "), "file").alias("line"))
     return head.unionByName(symbols.select("file", "start_line", "id", line.alias("line")))
+
+
+def registered_order(docs: DataFrame) -> DataFrame:
+    """(path, category, position): documents (path, title, category) in the order of a register, by title and path within their category."""
+    w = Window.partitionBy("category").orderBy("title", "path")
+    return docs.select("path", "category", F.row_number().over(w).alias("position"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.functions.exprs import chunk_words, cosine, token_estimate, truncated
+from lodegraph.functions.exprs import chunk_words, cosine, explanation_hash, token_estimate, truncated
 
 
 def chunks(docs: DataFrame, source: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
@@ -75,3 +75,11 @@ def context(symbols: DataFrame, edges: DataFrame, mappings: DataFrame, cap: int
     part = lambda c, label: F.concat(F.lit(label), F.col(c))
     text = truncated(F.concat_ws("\n", F.format_string("%s %s (%s)", "kind", "name", "file"), part("deps", "uses: "), part("users", "used by: "), part("docs", "docs: ")), cap, "... (truncated)")
     return j.select("id", text.alias("text"), F.col("deps").isNotNull().alias("has_deps"), F.col("users").isNotNull().alias("has_dependents"), F.col("docs").isNotNull().alias("has_docs")).withColumn("tokens", token_estimate("text"))
+
+
+def explain_requests(symbols: DataFrame) -> DataFrame:
+    """(id, hash, cached, prompt): what to ask of a language model, and whether a stored explanation still holds."""
+    now = explanation_hash("id", "start_line", "end_line", "source")
+    cached = (F.coalesce("explanation", F.lit("")) != "") & F.col("explanation_hash").eqNullSafe(now)
+    prompt = F.concat_ws("\n", F.format_string("Explain %s %s in %s", "kind", "name", "file"), F.nullif(F.col("signature"), F.lit("")), F.nullif(F.col("summary"), F.lit("")))
+    return symbols.select("id", now.alias("hash"), cached.alias("cached"), prompt.alias("prompt"))

@@ -31,6 +31,11 @@ def matrix(refs: DataFrame, symbols: DataFrame, mappings: DataFrame) -> DataFram
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("value is not null").distinct()
 
 
+def of_tickets(matrix_: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Rows of the matrix for some tickets (column ticket)."""
+    return matrix_.join(tickets.select("ticket").distinct(), "ticket", "left_semi")
+
+
 def endpoints_in_code(symbols: DataFrame) -> DataFrame:
     """(endpoint, method, path, params, response, symbol_id) from the route tags of controller methods."""
     ctl = symbols.where((F.col("kind") == "controller") | F.col("name").rlike("(?i)Controller$")).select(F.col("id").alias("parent"))

@@ -398,11 +398,11 @@ def snapshot_diff(spark, d):
     return _diff(spark, d).select("name", "kind", "change", "id")
 
 
-_HUNKS = "h as (select file, cast(rank as int) idx, start_line + 1 new_start, 3 new_lines, '@@ ' || id content from (select *, row_number() over (partition by file order by start_line, id) rank from s) where rank <= 3)"
+_HUNKS = "h as (select file, start_line idx, start_line + 1 new_start, 3 new_lines, '@@ ' || id content from s)"
 
 
 def _hunks(spark, d) -> DataFrame:
-    """A hunk of three lines for every current symbol; its start gives the order within the file. ``_HUNKS`` has those of the first three symbols of a file only."""
+    """A hunk of three lines for every current symbol; its start gives the order within the file."""
     s = S(spark, d, *_SNAPSHOT)  # the columns of ``_diff``, whose shuffle is used again
     return s.select("file", F.col("start_line").alias("idx"), (F.col("start_line") + 1).alias("new_start"), F.lit(3).alias("new_lines"), F.concat(F.lit("@@ "), "id").alias("content"))
 
@@ -412,9 +412,9 @@ def change_impact(spark, d):
     return changes.change_impact(_diff(spark, d), _hunks(spark, d))
 
 
-@query(f"with {_DIFF}, {_M}, dc as (select doc_path from m where seq % 2 = 0) select name, kind, change from df where change is not null and name not in (select symbol_name from m where doc_path in (select doc_path from dc))")
+@query(f"with {_DIFF}, {_M}, dc as (select doc_path from doc_mappings group by 1 having min(updated_at) < max(updated_at)) select name, kind, change from df where change is not null and name not in (select symbol_name from m where doc_path in (select doc_path from dc))")
 def doc_guard(spark, d):
-    """A document changed if its mapping rows were updated at more than one time; the SQL has rows of even ``seq`` in its place."""
+    """A document changed if its mapping rows were updated at more than one time."""
     changed = table(spark, d, "doc_mappings").groupBy("doc_path").agg(F.min("updated_at").alias("a"), F.max("updated_at").alias("b")).where("a < b")
     return changes.doc_guard(_diff(spark, d), M(spark, d), changed).select("name", "kind", "change")
 
