@@ -1,11 +1,13 @@
-"""Syntax check of source files: a chart parser over bracket spans, driven by bundled grammars.
-
-A lexer turns a file into one symbol per token. The chart holds, for every bracketed span of
-the token stream (and every indented block), the set of nonterminals of the grammar that
-derive its whole content; a span's set becomes a single symbol in the span around it. So each
-cell is filled once, bottom-up, from the table of compiled rules, and equal contents share
-their cell through a memo. A span that no rule derives is an error that nothing around it can
-repair; the first such place is reported. The grammars are text files beside this module.
+"""Syntax check of source files: a table-driven pushdown automaton, built from bundled grammars.
+
+A lexer turns a file into one symbol per token. Nesting is by brackets (and indented blocks), so
+the automaton pushes where one opens and pops where it closes: what it reads in between is a
+span, and on closing it the span becomes one symbol, the set of nonterminals that derive it.
+Within a span a transition table tells the next state from state and symbol. The tables come
+from the rules of the grammar: networks that call each other, one set of positions in them a
+state, worked out when a state is first met and kept. Equal spans are read once. The first
+token for which the table has no transition is an error that nothing after it can repair. The
+grammars are text files beside this module.
 """
 
 from __future__ import annotations
@@ -33,8 +35,108 @@ _OPEN, _CLOSE = {"(": "P", "[": "S", "{": "B", "\x02": "I"}, {")": "P", "]": "S"
 _ITEM = re.compile(r"'(?P<op>[^']+)'|(?P<cell>[PSBI]\.\w+)|%(?P<macro>\w+)|(?P<meta>(?:[!<=]\(|[()|*+?])+)|(?P<sym>\w+)")
 
 
+class Network:
+    """Rules as networks of nodes: edges over symbols, calls of other rules, and tests of the symbols around a position."""
+
+    def __init__(self):
+        self.edges: list[list[tuple]] = []  # of a node: ("eps", to), ("sym", chars, to), ("call", name, to), ("next", test, to), ("prev", chars, to)
+        self.rules: dict[str, tuple[int, int]] = {}
+        self.tests: list[tuple[bool, frozenset]] = []  # whether the next symbol must be one of these, or none of them
+
+    def node(self) -> int:
+        self.edges.append([])
+        return len(self.edges) - 1
+
+    def test(self, wanted: bool, chars: frozenset) -> int:
+        self.tests.append((wanted, chars))
+        return len(self.tests) - 1
+
+
+class Table:
+    """Transition table over sets of positions in a network; states are worked out when first met."""
+
+    def __init__(self, net: Network, starts: dict[str, int]):
+        self.net, self.finals = net, {net.rules[n][1]: bit for n, bit in starts.items()}
+        self.ids: dict[frozenset, int] = {}
+        self.sets: list[list[tuple]] = []
+        self.next: list[dict[str, int]] = []
+        self.ends: list[list[tuple]] = []
+        self.start = self._state([(net.rules[n][0], (), frozenset()) for n in starts], "")
+
+    def _state(self, positions: list[tuple], prev: str) -> int:
+        """The state of all positions that these lead to without reading: (node, nodes to return to, pending tests)."""
+        edges, todo, seen = self.net.edges, list(positions), set(positions)
+        reads, ends = [], []
+        while todo:
+            at = node, back, pending = todo.pop()
+            if node in self.finals and not back:
+                ends.append((self.finals[node], pending))
+            reading = False
+            for e in edges[node]:
+                if e[0] == "sym":
+                    reading = True
+                    continue
+                if e[0] == "eps":
+                    to = (e[1], back, pending)
+                elif e[0] == "call":
+                    to = (self.net.rules[e[1]][0], (e[2], back), pending)
+                elif e[0] == "return":
+                    if not back:
+                        continue
+                    to = (back[0], back[1], pending)
+                elif e[0] == "next":
+                    to = (e[2], back, pending | {e[1]})
+                elif prev in e[1]:
+                    to = (e[2], back, pending)
+                else:
+                    continue
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+            if reading:
+                reads.append(at)
+        key = frozenset(reads), frozenset(ends)
+        got = self.ids.get(key)
+        if got is None:
+            got = self.ids[key] = len(self.sets)
+            self.sets.append(reads)
+            self.ends.append(ends)
+            self.next.append({})
+        return got
+
+    def _holds(self, pending: frozenset, symbol: str | None) -> bool:
+        return all((symbol in chars) == wanted for wanted, chars in (self.net.tests[t] for t in pending))
+
+    def step(self, state: int, symbol: str) -> int:
+        """The next state, or -1 if nothing can go on with this symbol."""
+        to = [(e[2], back, frozenset()) for node, back, pending in self.sets[state] for e in self.net.edges[node] if e[0] == "sym" and symbol in e[1] and self._holds(pending, symbol)]
+        got = self._state(to, symbol) if to else -1
+        self.next[state][symbol] = got
+        return got
+
+    def accepted(self, state: int, symbol: str | None) -> int:
+        """Bits of the rules that may end here before this symbol (None: the end of the span)."""
+        mask = 0
+        for bit, pending in self.ends[state]:
+            if self._holds(pending, symbol):
+                mask |= bit
+        return mask
+
+    def read(self, content: str) -> tuple[int, int]:
+        """(bits of the rules that derive the content, index of the first symbol that none can read, or its length)."""
+        state, table = self.start, self.next
+        for i, c in enumerate(content):
+            to = table[state].get(c)
+            if to is None:
+                to = self.step(state, c)
+            if to < 0:
+                return 0, i
+            state = to
+        return self.accepted(state, None), len(content)
+
+
 class Grammar:
-    """Compiled rules of one language: symbols, patterns per bracket kind, and the file rule."""
+    """Symbols and tables of one language: per bracket kind, for runs that are reduced first, and for the file."""
 
     def __init__(self, text: str, flavour: str = ""):
         self.symbols: dict[str, str] = {}
@@ -67,12 +169,19 @@ class Grammar:
                 kind, name = head.split()
                 cells[kind][name] = rule
         self.bits = {k: {n: 1 << i for i, n in enumerate(v)} for k, v in cells.items()}
-        self._macros, self._done, self._joins = macros, {}, joins
-        self.cells = {k: [(self.bits[k][n], re.compile(self._compile(r), re.S)) for n, r in v.items()] for k, v in cells.items()}
-        self.reduces = [(re.compile(self._compile(r), re.S), self.symbol(n)) for n, r in reduce.items()]
-        self.top = re.compile(self._compile(top), re.S)
-        stmt = self._compile("%stmt") if "stmt" in macros else None
-        self.prefix = re.compile(f"(?:{stmt}[;{self.symbol('Z')}{self.symbol('NL')}]?)*+", re.S) if stmt else None
+        self.net, self._source = Network(), macros
+        for name, rule in macros.items():
+            self._rule(name, rule, name in joins)
+        for kind, rules in cells.items():
+            for name, rule in rules.items():
+                self._rule(f"{kind} {name}", rule)
+        for name, rule in reduce.items():
+            self._rule(f"REDUCE {name}", rule)
+        self._rule("file", top)
+        self.cells = {k: Table(self.net, {f"{k} {n}": b for n, b in v.items()}) for k, v in self.bits.items()}
+        self.reduces = [(Table(self.net, {f"REDUCE {n}": 1}), self.symbol(n)) for n in reduce]
+        self.top = Table(self.net, {"file": 1})
+        self.opens, self.closes = self.symbol("<"), self.symbol(">")
         self.question, self.colon = self.symbol("?") if flavour else "\x01", self.symbol(":")
         self.optional = "".join(map(self.symbol, (",", ";", "Z", "=", ":"))) if flavour == "TS" else ""
         self.memo: dict[tuple[str, str], str] = {}
@@ -83,46 +192,115 @@ class Grammar:
             self.symbols[name] = ";" if name == ";" else chr(0xE000 + len(self.symbols))
         return self.symbols[name]
 
-    def _compile(self, rule: str) -> str:
-        out = []
-        for m in _ITEM.finditer(rule):
-            if m["op"]:
-                out.append(re.escape(self.symbol(m["op"])))
-            elif m["cell"]:
-                kind, name = m["cell"].split(".")
-                bit, n = self.bits[kind].get(name, 0), len(self.bits[kind])
-                chars = "".join(chr(_BASE[kind] + i) for i in range(1 << n) if i & bit)
-                out.append(f"[{chars}]" if chars else "(?!)")
-            elif m["macro"]:
-                name = m["macro"]
-                if name not in self._done:
-                    self._done[name] = "(?:" + (self._join(self._macros[name]) if name in self._joins else self._compile(self._macros[name])) + ")"
-                out.append(self._done[name])
-            elif m["meta"]:
-                out.append(re.sub(r"[!<=]?\(", lambda x: {"(": "(?:", "!(": "(?!", "<(": "(?<=", "=(": "(?="}[x[0]], m["meta"]))
-            elif m["sym"] == "END":
-                out.append("(?!.)")
-            elif m["sym"] == "NEVER":
-                out.append("(?!)")
-            else:
-                out.append(self.symbol(m["sym"]))
-        return "".join(out)
+    # -- rules to networks
 
-    def _join(self, rule: str) -> str:
-        """X ( SEP X )* with a single copy of X: go on after SEP if START follows, end where STOP (or START) does not.
+    def _rule(self, name: str, rule: str, joined: bool = False) -> None:
+        a, z = self.net.node(), self.net.node()
+        self.net.rules[name] = a, z
+        self.net.edges[z].append(("return",))
+        self._join(rule, a, z) if joined else self._any(self._tokens(rule), a, z)
 
-        A rule that ends in "?" may be cut short again by what follows; others are never reopened.
-        """
-        rule, more = (rule[:-2], "") if rule.endswith(" ?") else (rule, "+")
-        x, sep, start, *stop = (self._compile(r) for r in rule.split(" ~ "))
-        return f"(?:(?:{x})(?:(?:{sep})(?={start})|(?!{stop[0] if stop else start})))+{more}"
+    @staticmethod
+    def _tokens(rule: str) -> list[str]:
+        out: list[str] = []
+        for m in _ITEM.finditer(rule):
+            out += re.findall(r"[!<=]?\(|[)|]|[*+?]+", m["meta"]) if m["meta"] else [m[0]]
+        return out[::-1]
+
+    def _any(self, toks: list[str], a: int, z: int) -> None:
+        """Alternatives up to a closing parenthesis or the end, from node ``a`` to ``z``."""
+        at = self.net.node()
+        self.net.edges[a].append(("eps", at))
+        while toks and toks[-1] != ")":
+            t = toks.pop()
+            if t == "|":
+                self.net.edges[at].append(("eps", z))
+                at = self.net.node()
+                self.net.edges[a].append(("eps", at))
+                continue
+            to, fro = self.net.node(), at
+            begin = self.net.node()
+            self.net.edges[fro].append(("eps", begin))
+            self._item(t, toks, begin, to)
+            if toks and toks[-1][0] in "*+?":
+                q = toks.pop()[0]
+                if q in "*?":
+                    self.net.edges[begin].append(("eps", to))
+                if q in "*+":
+                    self.net.edges[to].append(("eps", begin))
+            at = self.net.node()
+            self.net.edges[to].append(("eps", at))
+        self.net.edges[at].append(("eps", z))
+
+    def _item(self, t: str, toks: list[str], a: int, z: int) -> None:
+        edges = self.net.edges
+        if t == "(":
+            self._any(toks, a, z)
+            toks.pop()
+        elif t in ("!(", "=(", "<("):
+            inside = []
+            while toks[-1] != ")":
+                inside.append(toks.pop())
+            toks.pop()
+            chars = self._firsts(" ".join(inside))
+            edges[a].append(("prev", chars, z) if t == "<(" else ("next", self.net.test(t == "=(", chars), z))
+        elif t == "END":
+            edges[a].append(("next", self.net.test(True, frozenset([None])), z))
+        elif t != "NEVER":
+            if t[0] == "%":
+                edges[a].append(("call", t[1:], z))
+            else:
+                edges[a].append(("sym", self._chars(t), z))
+
+    def _chars(self, t: str) -> frozenset:
+        """All symbols that stand for a token or for a span of a nonterminal."""
+        if t[0] == "'":
+            return frozenset([self.symbol(t[1:-1])])
+        if t[1:2] == "." and t[0] in _BASE:
+            bit, n = self.bits[t[0]].get(t[2:], 0), len(self.bits[t[0]])
+            return _Span(_BASE[t[0]], 1 << n, bit)
+        return frozenset([self.symbol(t)])
+
+    def _firsts(self, rule: str) -> frozenset:
+        """Symbols of a list of alternatives of one symbol each, other lists included."""
+        out: list = []
+        for t in self._tokens(rule)[::-1]:
+            if t[0] == "%":
+                out.append(self._firsts(self._source[t[1:]]))
+            elif t not in ("|", "(", ")", "NEVER"):
+                out.append(self._chars(t))
+        return _Either(out)
+
+    def _join(self, rule: str, a: int, z: int) -> None:
+        """X ( SEP X )*: go on after SEP if START follows, end where STOP (or START) does not."""
+        x, sep, start, *stop = rule.removesuffix(" ?").split(" ~ ")
+        begin, mid, after, out = (self.net.node() for _ in range(4))
+        edges = self.net.edges
+        edges[a].append(("eps", begin))
+        self._any(self._tokens(x), begin, mid)
+        self._any(self._tokens(sep), mid, after)
+        edges[after].append(("next", self.net.test(True, self._firsts(start)), begin))
+        edges[mid].append(("next", self.net.test(False, self._firsts(stop[0] if stop else start)), out))
+        edges[out] += [("eps", z), ("eps", begin)]
+
+    # -- spans
 
     def reduced(self, content: str) -> str:
         """Bracket-like runs without brackets of their own, innermost first, as one symbol each."""
-        for rule, symbol in self.reduces:
-            n = 1
-            while n:
-                content, n = rule.subn(symbol, content)
+        for table, symbol in self.reduces:
+            at = content.rfind(self.opens)
+            while at >= 0:
+                state, i = table.start, at
+                while i < len(content):
+                    to = table.next[state].get(content[i])
+                    state = table.step(state, content[i]) if to is None else to
+                    if state < 0:
+                        break
+                    i += 1
+                    if content[i - 1] == self.closes and table.accepted(state, content[i] if i < len(content) else None):
+                        content = content[:at] + symbol + content[i:]
+                        break
+                at = content.rfind(self.opens, 0, at) if at else -1
         return content
 
     def unpaired(self, content: str) -> bool:
@@ -143,12 +321,9 @@ class Grammar:
         key = (kind, content)
         got = self.memo.get(key)
         if got is None:
-            mask = 0
-            content = self.reduced(content)
-            for bit, rule in self.cells[kind]:
-                if rule.fullmatch(content):
-                    mask |= bit
-            if mask and self.unpaired(content):
+            short = self.reduced(content)
+            mask = self.cells[kind].read(short)[0]
+            if mask and self.unpaired(short):
                 mask = 0
             got = chr(_BASE[kind] + mask)
             if len(content) <= MEMO_LENGTH:
@@ -158,6 +333,34 @@ class Grammar:
         return got
 
 
+class _Span(frozenset):
+    """All symbols for spans that a nonterminal derives, by its bit."""
+
+    def __new__(cls, base: int, size: int, bit: int):
+        return super().__new__(cls)
+
+    def __init__(self, base: int, size: int, bit: int):
+        self.base, self.size, self.bit = base, size, bit
+
+    def __contains__(self, symbol) -> bool:
+        n = ord(symbol) - self.base if symbol else -1
+        return 0 <= n < self.size and bool(n & self.bit)
+
+
+class _Either(frozenset):
+    """A union of sets of symbols."""
+
+    def __new__(cls, parts: list):
+        return super().__new__(cls)
+
+    def __init__(self, parts: list):
+        self.plain = frozenset().union(*(p for p in parts if type(p) is frozenset), *(p.plain for p in parts if type(p) is _Either))
+        self.spans = [p for p in parts if type(p) is _Span] + [x for p in parts if type(p) is _Either for x in p.spans]
+
+    def __contains__(self, symbol) -> bool:
+        return symbol in self.plain or any(symbol in p for p in self.spans)
+
+
 def parse(grammar: Grammar, tokens: str, soft: str = "") -> int | None:
     """Index of the first token that cannot be part of a valid file, or None.
 
@@ -187,27 +390,25 @@ def parse(grammar: Grammar, tokens: str, soft: str = "") -> int | None:
             content = content.replace(soft, "")
         c = grammar.cell(kind, content)
         if ord(c) == _BASE[kind]:
-            return _place(grammar, tokens, start + 1, at, content if kind in "BI" else "")
+            return _place(tokens, start + 1, at, grammar.cells[kind].read(grammar.reduced(content))[1])
         frames[-1].append(c)
     if opened:
         return len(tokens) - 1 if tokens else 0
     frames[-1].append(tokens[last:])
     content = grammar.reduced("".join(frames[0]))
-    if grammar.top.fullmatch(content) and not grammar.unpaired(content):
+    got, end = grammar.top.read(content)
+    if got and not grammar.unpaired(content):
         return None
-    return _place(grammar, tokens, 0, len(tokens), content)
+    return _place(tokens, 0, len(tokens), end)
 
 
 _BRACKET = re.compile("[()\\[\\]{}\x02\x03]")
 
 
-def _place(grammar: Grammar, tokens: str, start: int, end: int, content: str) -> int:
-    """Where a failing span goes wrong: after the longest run of whole statements."""
-    if not content or grammar.prefix is None:
-        return start
-    skip = grammar.prefix.match(content).end()
+def _place(tokens: str, start: int, end: int, skip: int) -> int:
+    """Token of the symbol numbered ``skip`` of a span: whole spans in it are one symbol each."""
     depth, at = 0, start
-    while at < end and (skip or depth):
+    while at < end and (skip > 0 or depth):
         if tokens[at] in _OPEN:
             depth += 1
         elif tokens[at] in _CLOSE:
@@ -262,10 +463,29 @@ class Lexer:
         return "".join(out), at
 
 
-_OPS_C = r">>>=|\.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*"
+_OPS_C = r"\.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*"
 _NUM_C = r"(?:0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)(?:[A-Za-z_]\w*)?"
 
 
+def _closing(text: str, i: int) -> int:
+    """Index of the brace that closes the one before ``i``, strings inside aside, or -1."""
+    depth = 1
+    while i < len(text):
+        c = text[i]
+        if c in "\"'":
+            end = _QUOTED.match(text, i)
+            i = end.end() if end else i + 1
+            continue
+        depth += (c in "{[(") - (c in "}])")
+        if not depth:
+            return i
+        i += 1
+    return -1
+
+
+_QUOTED = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+
+
 class JsLexer(Lexer):
     WORDS = "async await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield get set of type as satisfies from static declare abstract readonly namespace public private protected override keyof infer is asserts unique module interface let implements accessor enum"
     NAMES = "ID NUM STR REGEX TPL PRIV"
@@ -291,11 +511,6 @@ class JsLexer(Lexer):
         # a keyword is a name after a dot, before a colon in an object, or as a key or member name before "("
         self.member = re.compile(f"(?<=[{re.escape(s('.') + s('?.'))}])\n*[{as_name}]")
         self.key = re.compile(f"(?<=[{{;{re.escape(s('Z') + s(','))}])([{as_name}])(?=[{re.escape(s(':'))}])")
-        # a literal or ``this`` on the left of an assignment; in TypeScript only where a statement begins, as types may end so
-        fixed = "".join(map(s, ("this", "NUM", "STR", "true", "false", "null")))
-        gets = "".join(map(s, ("=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", "&=", "|=", "^=", "&&=", "||=", "??=")))
-        begin = f"(?<=[;{{}}{re.escape(self.z)}])" if flavour == "TS" else f"(?<![{re.escape(s('.') + s('?.'))}])"
-        self.fixed_set = re.compile(f"{begin}[{re.escape(fixed)}](?=[{re.escape(gets)}])")
         self.case_default = s("default")
         self.star = s("*")
 
@@ -377,7 +592,6 @@ class JsLexer(Lexer):
     def finish(self, k: str) -> str:
         k = self.member.sub(self.kw, k) if "\n" not in k else self.member.sub(lambda m: self.kw, k)
         k = self.break_.sub(self.z, k).replace("\n", "")
-        k = self.fixed_set.sub(self.err, k)
         return self.key.sub(lambda m: m[1] if m[1] == self.case_default else self.kw, k)
 
     def symbols(self, text: str) -> tuple[str, list[int]]:
@@ -457,7 +671,7 @@ class PhpLexer(Lexer):
         if t.startswith("?>"):
             return ";" + s("H") if t[2:].strip() else ";"
         if t.startswith("<<<"):
-            return s("STR")
+            return s("STR") if t[3:].lstrip()[:1] == "'" or self.filled(t) else self.err
         if c == "$" and len(t) > 1:
             return s("V")
         low = t.lower()
@@ -471,13 +685,26 @@ class PhpLexer(Lexer):
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
             return s("NUM") if re.fullmatch(r"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]*|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?", t) else self.err
         if c in "\"'`":
-            return s("STR") if len(t) > 1 else self.err
+            return s("STR") if len(t) > 1 and (c == "'" or self.filled(t)) else self.err
         if c == "(" and len(t) > 1:
             return s("CAST")
         if t in "()[]{};":
             return t
         return s(t) if t in self.g.symbols else self.err
 
+    def filled(self, t: str) -> bool:
+        """Whether the expressions in braces of an interpolated string are valid."""
+        i = t.find("{$")
+        while i >= 0:
+            end = _closing(t, i + 1)
+            back = len(t[:i]) - len(t[:i].rstrip("\\"))
+            if back % 2 == 0:
+                if end < 0 or parse(self.g, self.symbols("<?php (" + t[i + 1 : end] + ");")[0]) is not None:
+                    return False
+                i = end
+            i = t.find("{$", i + 1)
+        return True
+
     def symbols(self, text: str) -> tuple[str, list[int]]:
         m = re.search(r"<\?(?:php\b|=)", text, re.I)
         if not m:
@@ -511,7 +738,12 @@ class PyLexer(Lexer):
         if t in self.fixed:
             return self.fixed[t]
         if t[-1] in "\"'":
-            return s("STR") if len(t) > 1 and t.lstrip("rRbBuUfFtT") not in ('"""', "'''") else self.err
+            bare = t.lstrip("rRbBuUfFtT")
+            if len(t) == 1 or bare in ('"""', "'''"):
+                return self.err
+            kind = t[: len(t) - len(bare)].lower()
+            marks = 3 if bare[:3] in ('"""', "'''") and len(bare) > 5 else 1
+            return s("STR") if not set(kind) & set("ft") or self.filled(bare[marks:-marks], "r" in kind) else self.err
         if c.isalpha() or c == "_" or ord(c) > 127:
             return s("ID") if t.isidentifier() else self.err
         if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
@@ -520,6 +752,45 @@ class PyLexer(Lexer):
             return t
         return s(t) if t in self.g.symbols else self.err
 
+    def filled(self, t: str, raw: bool = False, spec: bool = False) -> bool:
+        """Whether the replacement fields of a formatted string, and those in their format specifications, are valid."""
+        t = t if raw else re.sub(r"\\N\{[^}]*\}", "", t)
+        i = 0
+        while i < len(t):
+            c = t[i]
+            if c in "{}" and t[i + 1 : i + 2] == c and not spec:
+                i += 2
+            elif c == "}":
+                return False
+            elif c == "{":
+                end = _closing(t, i + 1)
+                if end < 0 or not self.field(t[i + 1 : end], raw):
+                    return False
+                i = end + 1
+            else:
+                i += 1
+        return True
+
+    def field(self, t: str, raw: bool) -> bool:
+        """``expression [=] [!conversion] [:specification]``."""
+        depth = i = 0
+        while i < len(t):
+            c = t[i]
+            quoted = _QUOTED.match(t, i) if c in "\"'" else None
+            if quoted:
+                i = quoted.end()
+                continue
+            depth += (c in "([{") - (c in ")]}")
+            if not depth and (c == ":" or c == "!" and t[i + 1 : i + 2] != "="):
+                break
+            i += 1
+        own, rest = t[:i].rstrip(), t[i:]
+        own = own[:-1] if own.endswith("=") and own[-2:-1] not in ("=", "!", "<", ">") else own
+        tail = re.match(r"(?:!\s*[a-zA-Z_]\w*\s*)?(?::(.*))?\Z", rest, re.S)
+        if not own.strip() or not tail or not self.filled(tail[1] or "", raw, True):
+            return False
+        return parse(self.g, self.symbols("(" + own + "\n)\n")[0]) is None
+
     def symbols(self, text: str) -> tuple[str, list[int]]:
         out: list[str] = []
         depth, levels, fresh = 0, [0], True

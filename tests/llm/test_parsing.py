@@ -33,6 +33,35 @@ def test_invalid(lang, text):
     assert 1 <= P.error_line(lang, text) <= text.count("\n") + 1
 
 
+PROBES = [
+    ("js", 'import x from "y" with { type: "json" };', True), ("js", "a?.b = 1", False), ("js", "f() = 1", False), ("js", "return 1", False), ("js", "if (a) { return }", False), ("js", "() => { return 1 }", True), ("js", "x = y => z = 3", True),
+    ("js", "({a: 1, b: [c]} = d); [e, f] = [f, e]", True), ("js", "a.b().c = d ||= e; new A().b = c", True), ("js", "1 += x", False), ("js", "x >>>= 2; y >>= 1; x **= 2", True), ("ts", "(x as any).y = 3; z! = 4; a!.b = 1", True), ("ts", "return", False),
+    ("py", "f'{a b}'\n", False), ("py", "f'{a!r:>{w}} {{x}} {y=} {d[\"k\"]:%H:%M} {(lambda: 1)()}'\n", True), ("py", "f'{}'\n", False), ("py", "f'{a}}'\n", False), ("py", "rf'\\{a}' f'\\N{DASH}'\n", True), ("py", "f'{a != b} {x if y else z:{w}.{p}}'\n", True), ("py", "'{a b}'\n", True),
+    ("php", "<?php $a = \"x {$b['c']} {$d->e()} \\{$f $g\";", True), ("php", '<?php $a = "a {$b[}";', False), ("php", "<?php $a = '{$b[';", True),
+]
+
+
+@pytest.mark.parametrize("lang, text, valid", PROBES)
+def test_probes(lang, text, valid):
+    assert P.check(lang, text) == valid
+
+
+def test_first_error_is_the_token_that_nothing_can_read():
+    assert P.error_line("js", "let a = 1;\nlet b = 2;\nlet c = = 3;\nlet d;\n") == 3
+    assert P.error_line("py", "x = 1\n\ny = 2 3\nz = 4\n") == 3
+
+
+def test_tables_are_small_and_quick_to_build():
+    import time
+
+    P.lexer.cache_clear()
+    began = time.perf_counter()
+    for lang, texts in GOOD.items():
+        for t in texts:
+            P.check(lang, t)
+    assert time.perf_counter() - began < 5 and sum(len(t.sets) for t in P.lexer("ts").g.cells.values()) < 1000
+
+
 def test_python_against_the_interpreter():
     files = sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py"))[:80]
     wrong = [f for f in files if not P.check("py", open(f, encoding="utf-8").read())]
