@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.plans.lineage import cut
+from lodegraph.plans.lineage import cut, too_few_splits
 
 BITS = 19
 ROUNDS = 5
 LABEL_LIMIT = 100_000
+MOST_SUBJECTS = 1000
 SHARE = 0.25
 SEED_PRIOR = 0.5
 PRIOR = 10.0
@@ -53,7 +54,7 @@ _STRATA = (
 def stratum(text: str) -> int:
     """Language stratum of a text: terms are weighed only against wording of the same language."""
     w = re.findall(r"[^\W\d_]+", text.lower())
-    n = [sum(x in words for x in w) for words in _STRATA]
+    n = [sum(map(words.__contains__, w)) for words in _STRATA]
     return int(np.argmax(n))
 
 
@@ -78,14 +79,32 @@ def sentences(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1 << 18)
-def _hash(feature: str, kind: int, bits: int) -> int:
-    return kind << (bits - 2) | zlib.crc32(feature.encode()) >> (34 - bits)
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def _words(sentence: str) -> list[str]:
+    """Names of program parts are left out, case and joins do not count."""
+    return _LETTERS.findall(_HUMP.sub(" ", _NAME.sub(" 0 ", sentence.replace("_", " "))).lower())
+
+
+def hashed(found: list[str], kinds: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed words and word pairs of all sentences at once: feature ids, and how many each sentence has."""
+    rows = [_words(s) for s in found]
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    word = np.fromiter((_crc(w) for r in rows for w in r), np.uint64, int(n.sum()))
+    of = np.repeat(np.arange(len(rows)), n)
+    joined = of[1:] == of[:-1]
+    pair = ((word[:-1] * np.uint64(0x9E3779B1) + word[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+    key, of = np.concatenate([word, pair[joined]]).astype(np.int64), np.concatenate([of, of[:-1][joined]])
+    ids = kinds[of] << (bits - 2) | key >> (34 - bits)
+    each = np.sort(of << bits | ids)
+    each = each[np.r_[True, each[1:] != each[:-1]]] if len(each) else each
+    return (each & ((1 << bits) - 1)).astype(np.int32), np.bincount(each >> bits, minlength=len(rows)).astype(np.int32)
 
 
 def features(sentence: str, kind: int, bits: int = BITS) -> list[int]:
-    """Distinct hashed words and word pairs; names of program parts are left out, case and joins do not count."""
-    w = [x.lower() for x in _LETTERS.findall(_HUMP.sub(" ", _NAME.sub(" 0 ", sentence.replace("_", " "))))]
-    return sorted({_hash(x, kind, bits) for x in w} | {_hash(a + " " + b, kind, bits) for a, b in zip(w, w[1:])})
+    return hashed([sentence], np.array([kind]), bits)[0].tolist()
 
 
 def label_of(subject: str | None, known: dict[str, int]) -> int:
@@ -150,14 +169,13 @@ def _extract(bits: int):
         for f in frames:
             if not len(f):
                 continue
-            ids, sizes, at = [], [], []
-            for text in f["text"]:
-                kind = stratum(text or "")
-                fs = [features(s, kind, bits) for s in sentences(text or "")]
-                at.append(len(fs))
-                sizes.append(np.array([len(x) for x in fs], np.int32))
-                ids.append(np.array([i for x in fs for i in x], np.int32))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_sentences": np.array(at, np.int32), "sizes": sizes, "ids": ids})
+            texts = [t or "" for t in f["text"]]
+            found = [sentences(t) for t in texts]
+            at = np.array([len(s) for s in found], np.int32)
+            ids, sizes = hashed([s for x in found for s in x], np.repeat([stratum(t) for t in texts], at), bits)
+            ends = np.cumsum(at)
+            by_doc = np.split(sizes, ends[:-1])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "n_sentences": at, "sizes": by_doc, "ids": np.split(ids, np.cumsum([s.sum() for s in by_doc])[:-1])})
 
     return run
 
@@ -284,10 +302,15 @@ def subjects_of(documents: DataFrame, areas: DataFrame, samples: DataFrame, shar
     case and punctuation, null and unknown ones are left aside, and at most ``label_limit`` rows
     of them (by smallest id) are used to fit. All documents take part in the EM rounds. Null or
     empty texts have no subject; without subjects or documents there are no rows. Repeated ids
-    are judged row by row.
+    are judged row by row. More than ``MOST_SUBJECTS`` subjects are an error: a model has a
+    column for each.
     """
-    names = sorted({r.subject for r in areas.select("subject").where("subject is not null").distinct().limit(10_000).collect()})
+    names = sorted({r.subject for r in areas.select("subject").where("subject is not null").distinct().limit(MOST_SUBJECTS + 1).collect()})
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    if few := too_few_splits(documents):
+        docs = docs.repartition(few, "doc_id")
     feats = cut(docs.mapInPandas(_extract(bits), "doc_id long, n_sentences int, sizes array<int>, ids array<int>"))
     if not names:
         return feats.select("doc_id", F.lit("").alias("subject"), F.lit(0.0).alias("share")).where("false")
