@@ -61,14 +61,20 @@ def ignored(file: Column | str, patterns: list[str] | None) -> Column:
     return out
 
 
+# Extensions that a name may end in, and what may follow the parameters of a signature
+NAME_EXTENSIONS = r"(?i)\.(php|ts|tsx|js|jsx|go|py|rs|java)$"
+SIGNATURE_END = r"\)\s*([:\s].*)?$"
+
+
 def short_name(qualified: Column | str, name: Column | str) -> Column:
-    """Last segment of a qualified name without its file extension; falls back to the name."""
-    q = F.coalesce(F.when(_c(qualified) != "", _c(qualified)), _c(name))
-    seg = F.when(q.rlike(r"[\\/]"), F.element_at(F.split(q, r"[\\/]"), -1)).otherwise(q)
-    last = F.element_at(F.split(seg, r"\.|::"), -1)
-    seg = F.when(seg.rlike(r"\.|::") & (last != ""), last).otherwise(seg)
-    bare = F.regexp_replace(seg, r"(?i)\.(php|ts|tsx|js|jsx|go|py|rs|java)$", "")
-    return F.when(bare != "", bare).otherwise(F.when(seg != "", seg).otherwise(F.coalesce(_c(name), F.lit("unknown"))))
+    """What follows the last separator of a qualified name (of a path, then of a member), without a file extension.
+
+    An empty qualified name counts as none; a name that ends in a member separator keeps it.
+    """
+    given = F.coalesce(F.nullif(_c(qualified), F.lit("")), _c(name))
+    base = F.substring_index(F.translate(given, "\\", "/"), "/", -1)
+    member = F.coalesce(F.nullif(F.substring_index(F.replace(base, F.lit("::"), F.lit(".")), ".", -1), F.lit("")), base)
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (F.regexp_replace(member, NAME_EXTENSIONS, ""), member)], _c(name), F.lit("unknown"))
 
 
 # Layer words in order of precedence, and languages by extension
@@ -109,9 +115,9 @@ def parameter_count(signature: Column | str) -> Column:
 
 
 def has_return_type(signature: Column | str) -> Column:
-    s = F.coalesce(_c(signature), F.lit(""))
-    tail = F.trim(F.regexp_extract(s, r"\)\s*([:\s].*)?$", 1))
-    return s.rlike(r"\)\s*([:\s].*)?$") & (tail != "") & ~tail.rlike(r"^\s*[{\[]?\s*$")
+    """Whether anything but an opening bracket follows the parameters."""
+    after = F.regexp_extract(F.coalesce(_c(signature), F.lit("")), SIGNATURE_END, 1)
+    return ~F.trim(after, F.lit(" \t\r\n")).isin("", "{", "[")
 
 
 def lines_of_code() -> Column:

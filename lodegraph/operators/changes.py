@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+LINE_BLOCK = 1000
+
+
 def _last(df: DataFrame, side: str) -> DataFrame:
     cols = F.struct("seq", "id", "file", "start_line", "end_line", "signature")
     return df.groupBy("name", "kind").agg(F.max(cols).alias(side))
@@ -43,8 +46,12 @@ def overlaps(start: Column, end: Column) -> Column:
 
 def change_impact(diff: DataFrame, hunks: DataFrame) -> DataFrame:
     """Changes that are additions, removals, or touch a hunk (file, idx, new_start, new_lines, content), with the text of their hunks."""
-    h = hunks.select("file", "idx", "new_start", "new_lines", "content")
-    hit = diff.join(h, "file").where(overlaps(F.col("start_line"), F.col("end_line"))).groupBy("name", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "content"))), lambda x: x["content"]), "\n").alias("diff"))
+    # hunks and symbols meet in blocks of lines, so a long file is spread; the first block that both touch counts the pair once
+    blocks = lambda lo, hi: F.explode(F.sequence(F.floor(lo / LINE_BLOCK).cast("long"), F.floor(F.greatest(lo, hi) / LINE_BLOCK).cast("long")))
+    h = hunks.select("file", "idx", "new_start", "new_lines", "content").withColumn("block", blocks(F.col("new_start"), F.col("new_start") + F.col("new_lines")))
+    spans = diff.where("start_line is not null and end_line is not null").withColumn("block", blocks(F.col("start_line"), F.col("end_line")))
+    met = spans.join(h, ["file", "block"]).where(overlaps(F.col("start_line"), F.col("end_line")) & (F.col("block") == F.floor(F.greatest("start_line", "new_start") / LINE_BLOCK)))
+    hit = met.groupBy("name", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "content"))), lambda x: x["content"]), "\n").alias("diff"))
     j = diff.join(hit, ["name", "kind"], "left").where(F.col("change").isin("added", "removed") | F.col("diff").isNotNull())
     return j.select("name", "kind", "change", F.coalesce("diff", F.lit("")).alias("diff"), F.col("change").isin("added", "removed", "signature_changed").alias("doc_update_required"))
 

@@ -95,7 +95,8 @@ def live_symbols(symbols: DataFrame, index_results: DataFrame, limit: int = 200_
     gone = index_results.select("started_at", F.explode("removed_files").alias("f")).groupBy(norm_path("f").alias("file")).agg(F.sort_array(F.collect_set("started_at")).alias("runs"))
     gone = gone.where("file is not null")
     rows = symbols.select(norm_id("id").alias("id"), "name", norm_path("file").alias("file"), "indexed_at").where("indexed_at is not null")
-    joined = rows.join(broadcast_below(gone, gone.count(), limit), "file", "left")
+    held = gone.agg(F.coalesce(F.sum(F.size("runs") + 1), F.lit(0))).first()[0]  # run times and paths
+    joined = rows.join(broadcast_below(gone, held, limit), "file", "left")
     first = F.expr("array_min(filter(runs, x -> x > indexed_at))")
     spans = joined.select("id", "name", month_index("indexed_at").alias("lo"), F.coalesce(month_index(first), F.lit(FOREVER)).alias("hi")).where("lo < hi")
     pairs = spans.select("lo", "hi", F.explode(F.array(F.struct(F.lit("id").alias("space"), F.col("id").alias("key")), F.struct(F.lit("name").alias("space"), F.col("name").alias("key")))).alias("k"))

@@ -82,6 +82,7 @@ def _return_type(rule: Rule, symbols: DataFrame, _: DataFrame) -> DataFrame:
 
 
 def _types() -> dict:
+    # Default limits and texts of the messages
     return {
         "layer_boundary": _layer_boundary,
         "forbidden_import": _forbidden_import,
@@ -104,7 +105,7 @@ def violations(rules: list[Rule], symbols: DataFrame, edges: DataFrame) -> DataF
 
 # Default limits and name patterns per language
 DEFAULT_RULES = {
-    "php": [Rule("class-pascal-case", "naming_convention", {"kind": "class", "pattern": "^[A-Z][a-zA-Z0-9]*$"}, "error"), Rule("method-camel-case", "naming_convention", {"kind": "method", "pattern": "^[a-z][a-zA-Z0-9]*$", "allowNames": ["__construct", "__destruct", "__get", "__set", "__call", "__toString", "__invoke"]}), Rule("max-complexity", "max_complexity", {"max": 10}), Rule("max-parameters", "max_parameters", {"max": 5}), Rule("max-method-lines", "max_lines", {"kind": "method", "max": 50}), Rule("max-class-lines", "max_lines", {"kind": "class", "max": 300})],
+    "php": [Rule("class-pascal-case", "naming_convention", {"kind": "class", "pattern": "^[A-Z][a-zA-Z0-9]*$"}, "error"), Rule("method-camel-case", "naming_convention", {"kind": "method", "pattern": "^[a-z][a-zA-Z0-9]*$", "allowNames": ["__construct", "__destruct", "__call", "__callStatic", "__get", "__set", "__isset", "__unset", "__sleep", "__wakeup", "__serialize", "__unserialize", "__toString", "__invoke", "__set_state", "__clone", "__debugInfo"]}), Rule("max-complexity", "max_complexity", {"max": 10}), Rule("max-parameters", "max_parameters", {"max": 5}), Rule("max-method-lines", "max_lines", {"kind": "method", "max": 50}), Rule("max-class-lines", "max_lines", {"kind": "class", "max": 300})],
     "typescript": [Rule("class-pascal-case", "naming_convention", {"kind": "class", "pattern": "^[A-Z][a-zA-Z0-9]*$"}, "error"), Rule("function-camel-case", "naming_convention", {"kind": "function", "pattern": "^[a-z][a-zA-Z0-9]*$"}), Rule("method-camel-case", "naming_convention", {"kind": "method", "pattern": "^[a-z][a-zA-Z0-9]*$"}), Rule("max-complexity", "max_complexity", {"max": 10}), Rule("max-parameters", "max_parameters", {"max": 5}), Rule("max-class-lines", "max_lines", {"kind": "class", "max": 200}), Rule("missing-return-type", "missing_return_type", {"scope": "public"})],
 }
 

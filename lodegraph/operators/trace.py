@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: what a ticket looks like
 TICKET = "[A-Z][A-Z0-9]+-[0-9]+"
 
 
@@ -55,6 +56,7 @@ def compare_apis(code: DataFrame, spec: DataFrame) -> DataFrame:
 
     j = keyed(code, "c").join(keyed(spec, "s"), "endpoint", "full_outer")
     c, s = F.col("c"), F.col("s")
+    # Kinds and texts of the discrepancies
     missing = j.where("c is null or s is null").select(F.when(s.isNull(), "missing_in_spec").otherwise("missing_in_code").alias("type"), "endpoint", F.when(s.isNull(), F.format_string("Exists in code (%s) but not in spec", c["symbol_id"])).otherwise(F.format_string("Exists in spec (%s) but not in code", s["symbol_id"])).alias("details"))
     both = j.where("c is not null and s is not null")
     names = both.select("endpoint", F.explode(F.array_union(F.map_keys(c["params"]), F.map_keys(s["params"]))).alias("p"), c["params"].alias("cp"), s["params"].alias("sp"))
