@@ -279,6 +279,7 @@ def train(feats: DataFrame, samples: list[tuple[str, str | None]], subjects: lis
     for _ in range(rounds):
         sent = sc.broadcast(model.weights)  # 2**bits rows, a bound set by the parameter
         sums = feats.mapInPandas(_expect(sent, n, bits), kinds).groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(n)]).toPandas()
+        sent.destroy()  # its copies on the executors' disks
         nxt = Model(n, bits)
         at, got = sums["feature"].to_numpy(), sums[[f"c{c}" for c in range(n)]].to_numpy()
         nxt.counts[at] = got
