@@ -1,4 +1,9 @@
 import random
+import re
+import zlib
+from types import SimpleNamespace
+
+import pandas as pd
 
 from lodegraph.llm import handwritten as H
 
@@ -86,3 +91,61 @@ def test_comment_marks_in_late_strings():
     code = "".join(f"const a{i} = {i};\n" for i in range(60)) + "const glob = 'src/*.ts', open = \"/* not a comment\", url = ` // nor this # one`;\nfunction last() {}\n"
     said, body = H._comments(code + "// it's the end\n")
     assert body == code + "\n" and said == {"top": "", "foot": "// it's the end", "between": ""}
+
+
+ODD = ['"', "'", "`", "/*", "*/", "//", "#", "<!--", "-->", '"""', "\n", "\\", "\t", " ", "aB", "9", "_", "é", "世", "²", "\ud800", "*", "!", "[", "&", ":", "class Foo", "type", "@x", "(c)", "v1.2", "own"]
+PLAIN_SPANS = re.compile(
+    r"(?P<comment>/\*.*?(?:\*/|\Z)|(?<![:\w\"'])//[^\n]*|(?<![\w\"'&])#(?!\[|!)[^\n]*|<!--.*?-->|\"\"\".*?(?:\"\"\"|\Z))"
+    r"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`",
+    re.S,
+)
+
+
+def odd_texts(n, seed=2):
+    r = random.Random(seed)
+    return ["".join(r.choices(ODD, k=r.randrange(80))) for _ in range(n)]
+
+
+def test_one_scan_of_each_file(monkeypatch):
+    """A file is scanned for comments once when it is judged; the scan was made twice."""
+    scanned, scan = [], H._comments
+    monkeypatch.setattr(H, "_comments", lambda t: scanned.append(t) or scan(t))
+    r = random.Random(1)
+    texts = [hand(r, "own"), machine(r, "own"), "// nothing yet\n", "x"]
+    frame = pd.DataFrame({"path": list("abcd"), "repo": "own-core", "content": texts})
+    got = pd.concat(H._judge(SimpleNamespace(value=[(H.Svm(), H.Svm(), 0.5, 0.5)] * H.FOLDS))(iter([frame])))
+    assert scanned == texts and got["body"].tolist() == [-0.5, -0.5, -1.0, -0.5]
+
+
+def test_scan_as_by_the_plain_pattern():
+    for t in odd_texts(3000):
+        assert [(m[0], m["comment"] is None) for m in H._SPANS.finditer(t)] == [(m[0], m["comment"] is None) for m in PLAIN_SPANS.finditer(t)]
+
+
+def test_features_as_by_their_definition():
+    def grams(data, n, salt):
+        out = set()
+        for i in range(len(data) - n + 1):
+            h = salt
+            for b in data[i : i + n]:
+                h = (h ^ b) * 0x100000001B3 % 2**64
+            out.add((h ^ h >> 29) % 2**H.BITS)
+        return out
+
+    def head(place, said):
+        words = ["own" if w == "own" else w.lower() for w in H._WORD.findall(said)]
+        terms = {*words} | {f"{a} {b}" for a, b in zip(words, words[1:])} | {"@" + m.lower() for m in re.findall(r"@[\w-]+", said)}
+        terms |= {m for m in ("/*!", "<auto", "(c)", "v0.0") if m in re.sub(r"\d+", "0", said.lower())}
+        keys = ("between",) if place == "between" else ("h", place)
+        return {zlib.crc32(f"{k}:{t}".encode("utf-8", "replace")) % 2**H.BITS for k in keys for t in terms}
+
+    for t in odd_texts(300) + [hand(random.Random(1), "own"), "", "x"]:
+        said, body = H._split(t)
+        ids, heads = H.features("own-core/src/a.b.ts", "own-core", said, body)
+        shape = re.sub(r"[ \t]+", " ", re.sub("0+", "0", re.sub("a+", "a", "".join("a" if c.isascii() and c.isalpha() or c == "_" or 192 <= ord(c) < 592 else "0" if c.isascii() and c.isdigit() else c for c in body))))
+        marks = [m for m in ("dir:src", "ext:ts", "suffix:b", "end:a", f"longest:{min(12, max(map(len, body.split(chr(10)))).bit_length())}")]
+        marks += [f"{n}:{int(sum(map(f, body)) / max(1, len(body)) * 12)}" for n, f in (("digits", "0123456789".__contains__), ("blanks", " \t\n".__contains__))] + [f"words:{int(len(H._WORD.findall(body)) / max(1, len(body)) * 40)}"]
+        want = grams(body.encode("utf-8", "replace"), 4, 17) | grams(shape.encode("utf-8", "replace"), 6, 23) | {zlib.crc32((m + q).encode()) % 2**H.BITS for m in marks for q in ("", "'", "''")}
+        assert want <= {*ids.tolist()} and len({*ids.tolist()} - want) <= 9 and ids.tolist() == sorted({*ids.tolist()})
+        told = [head(p, said[p]) for p in H.PLACES]
+        assert [p.tolist() for p in H._parts(heads)] == [sorted(told[0] or {0})] + [sorted(x) for x in told[1:] if x]
